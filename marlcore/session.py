@@ -24,6 +24,13 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers get the folder of this package on their path, for sessions started elsewhere without it."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir; a temp folder only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
