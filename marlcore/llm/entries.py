@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import let_workers_import
+
 
 def tokenizer_path() -> str:
     """Place of the public tokenizer file: a parameter of the operators, this the queries' default."""
@@ -17,6 +19,7 @@ def tokenizer_path() -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,6 +53,12 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_read(spark, sf_dir, "embeddings"), k=10, query_every=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -80,6 +89,13 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_topk": """
+            WITH c AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+                       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+                 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([a * c.v[i] FOR a, i IN q.v]) AS BIGINT) AS score
+                       FROM c q JOIN c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+                 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
         "op2_exact_dedup": """
             WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,

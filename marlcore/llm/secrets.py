@@ -176,4 +176,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     score = forest_sql(docs.sparkSession)
     out = with_candidates(docs).withColumn("__found", F.expr(f"array_sort(array_distinct(transform(filter(__found, c -> {score} >= {THRESHOLD}D), c -> c.s)), (a, b) -> length(b) - length(a))"))
     text = F.expr(f"if(size(__found) > 0, aggregate(__found, text, (t, s) -> replace(t, s, '{PLACEHOLDER}')), text)")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("__found") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(kind))
     return out.withColumn("text", text).select(*docs.columns)
