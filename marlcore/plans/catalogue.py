@@ -1,17 +1,20 @@
-"""Named queries over the driver tables, each with its SQL twin where SQL can express it."""
+"""All queries over the driver tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import graph_queries, vector_queries  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+    return QUERIES["silhouette_exact"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
