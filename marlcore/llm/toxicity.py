@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .words import LOWER, chunks, joined, mix, prefix_hash, span_hash, word_spans
 
 #: Bounds and constants: labelled rows a class, stem length in bytes, discount, stretch lengths in words, threshold.
-MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 4096, 7, 0.75, 5, (1, 4, 16), 0.7
+MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 2048, 7, 0.75, 5, (1, 4, 16), 0.7
 #: Log ratio from which a word counts as evidence.
 STRONG = 1.5
 #: Slots of each model table, a power of two.
@@ -135,7 +135,9 @@ def _rows_of(texts: list[bytes]) -> np.ndarray:
     out, at = [np.zeros((0, 4), np.uint64)], 0
     for _, group in chunks(sorted(set(texts))):
         words, stems, before, text = words_of(group)
-        out.append(np.unique(np.stack([text.astype(np.uint64) + np.uint64(at), before, words, stems], axis=1), axis=0))
+        text = text.astype(np.uint64) + np.uint64(at)
+        new = np.unique(mix(text * np.uint64(5) + pair_hash(before, words)), return_index=True)[1]
+        out.append(np.stack([text[new], before[new], words[new], stems[new]], axis=1))
         at += len(group)
     return np.concatenate(out)
 
@@ -236,21 +238,38 @@ def train(rows: list[tuple[int, str, int]], base_rate: float) -> Models | None:
     return models
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[list, float]:
-    """At most max_rows rows (doc_id, text, toxic) of each class that are not held out, and the share of toxic labels."""
+def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[Models | None, float]:
+    """Models from at most max_rows rows of each class that are not held out, and the share of toxic labels.
+
+    One task trains on the bounded sample; only the tables, whose size is fixed, come to the driver.
+    """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    base = toxic / n if n else 0.0
     sides = [known.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
     chosen = sides[0].unionByName(sides[1])  # at most 2 * max_rows rows of 12 bytes: their broadcast has a fixed bound
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return [(r[0], r[1], r[2]) for r in rows.limit(4 * max_rows).collect()], toxic / n if n else 0.0
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(4 * max_rows)
+
+    def run(table):
+        import pickle
+
+        import pyarrow as pa
+
+        models = train([tuple(r) for r in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))], base)
+        return pa.table({"models": pa.array([pickle.dumps(models)], pa.binary())})
+
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "models binary").collect()
+    if not found:
+        return None, base
+    import pickle
+
+    return pickle.loads(found[0][0]), base
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; keep: all columns of docs and __toxic (boolean)."""
-    rows, base = labelled_sample(docs, labels, max_rows)
-    models = train(rows, base)
+    models, base = trained_models(docs, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def scores(texts) -> np.ndarray:
