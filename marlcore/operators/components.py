@@ -1,26 +1,65 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: local forests, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import let_workers_import, materialize
 from .skew import attach_groups
 
+#: Edges that one task may join at most; larger forests go through the distributed rounds.
+ONE_TASK = 1_000_000
+
+
+def _forest(batches):
+    """Edges (vertex, smallest vertex joined with it) of a partition: at most one for each vertex."""
+    import pyarrow as pa
+
+    parent: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            while (x := parent.setdefault(a, a)) != a:
+                parent[a] = a = parent[x]
+            while (x := parent.setdefault(b, b)) != b:
+                parent[b] = b = parent[x]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    out = []
+    for v in parent:
+        r = v
+        while parent[r] != r:
+            r = parent[r]
+        if r != v:
+            out.append((v, r))
+    for low in range(0, len(out), 50_000):
+        part = out[low : low + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.int64()), pa.array([e[1] for e in part], pa.int64())], ["a", "b"])
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.expr("pmod(xxhash64(a, b), 1000000007)"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _with_roots(edges: DataFrame) -> DataFrame:
+    roots = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """v, root for every vertex of edges(a, b) that has an edge to another one; root is its component's smallest vertex.
 
-    Each round joins a vertex's edges with the smallest vertex near it.  Hot vertices get it by a broadcast of bounded
+    Each partition first reduces its edges to a forest.  Up to ONE_TASK forest edges are joined by one task; beyond, each
+    round joins a vertex's edges with the smallest vertex near it.  Hot vertices get it by a broadcast of bounded
     size, so a star of any degree is spread over all tasks.  The state is written out each round, which cuts lineage.
     """
-    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = materialize(edges, "edges")
+    let_workers_import(edges.sparkSession)
+    edges = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
+    edges = materialize(edges.mapInArrow(_forest, "a bigint, b bigint"), "edges")
+    if (left := edges.count()) <= one_task:
+        if left:
+            edges = materialize(edges.coalesce(1).mapInArrow(_forest, "a bigint, b bigint"), "components")
+        return _with_roots(edges)
     before = _state(edges)
     for _ in range(max_rounds):
         if not before[0]:
@@ -41,5 +80,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("v"), "root").distinct())
+    return _with_roots(edges)
