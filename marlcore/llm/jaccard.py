@@ -31,6 +31,8 @@ from .words import LOWER, chunks, joined, mix, prefix_hash, span_hash, word_span
 #: Parts beyond D + 1, so that a set with up to SPARE empty parts needn't tell of them; ratio of the bands' edges; elements of a
 #: tile; words of 64 bits in a bitmap; rows up to which candidates are broadcast to the texts.
 SPARE, RATIO, TILE, BITMAP, BROADCAST_ROWS = 2, 1.5, 2_000_000, 16, 400_000
+#: Sets next in size that are compared first.
+NEXT = 32
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,24 +182,26 @@ def link_sets(h: np.ndarray, bounds: np.ndarray, percent: int, side: np.ndarray
         i = order[place]
         low = np.searchsorted(sizes, -(-percent * n[i] // 100))
         near = order[low:place]
-        near = near[forest.label[near] != forest.label[i]]
         if side is not None:
             near = near[side[near] != side[i]]
-        if not len(near) or not n[i]:
-            continue
-        apart = np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        total = n[near] + n[i]
-        ok = (total - apart) // 2 * (100 + percent) >= percent * total
-        near, apart = near[ok], apart[ok]
         mine = h[bounds[i] : bounds[i + 1]]
-        for j in near[np.argsort(apart, kind="stable")].tolist():
-            if forest.label[j] == forest.label[i]:
+        # the sets next in size first: most of a group of near copies is joined by them, and then needn't be met one by one
+        for some in (near[-NEXT:], near[:-NEXT]):
+            some = some[forest.label[some] != forest.label[i]]
+            if not len(some) or not n[i]:
                 continue
-            other = h[bounds[j] : bounds[j + 1]]
-            at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-            both = int(np.count_nonzero(mine[at] == other))
-            if both * 100 >= percent * (len(mine) + len(other) - both):
-                forest.join(i, j)
+            apart = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            total = n[some] + n[i]
+            ok = (total - apart) // 2 * (100 + percent) >= percent * total
+            some, apart = some[ok], apart[ok]
+            for j in some[np.argsort(apart, kind="stable")].tolist():
+                if forest.label[j] == forest.label[i]:
+                    continue
+                other = h[bounds[j] : bounds[j + 1]]
+                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                both = int(np.count_nonzero(mine[at] == other))
+                if both * 100 >= percent * (len(mine) + len(other) - both):
+                    forest.join(i, j)
     return forest.links
 
 
@@ -264,7 +268,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     groups = materialize(plain.filter("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")), "set-groups")
     parts = sets.select("doc_id", F.explode("sigs").alias("sig"))
     star = F.expr("first(doc_id) over (partition by sig order by doc_id)")
-    stars = parts.select(star.alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
+    stars = parts.select(star.alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     near = connected_components(stars).withColumnRenamed("v", "doc_id")
     members = near.join(groups.select(F.col("rep").alias("doc_id"), F.col("size").alias("n")), "doc_id").select("doc_id", "root", "n")
     members = materialize(members, "members")
