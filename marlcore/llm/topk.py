@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, k: int = 10, query_every: int = 100) -> DataFrame:
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = best.withColumn("rank", F.row_number().over(ranked)).filter(f"rank = {k}").select("query_id", F.col("score").alias("kth"))
     seen = first.select("query_id", "pivot", "ring").distinct()
-    bounded = visits.join(kth, "query_id", "left").withColumn("r", F.expr(f"coalesce(sqrt(greatest({norm2!r}D + q2 - 2 * kth, 0D)) * (1 + 1e-9) + 1e-6, double('inf'))"))
+    bounded = visits.join(kth, "query_id", "left").withColumn("r", F.expr(f"if(kth is null, double('inf'), sqrt(greatest({norm2!r}D + q2 - 2 * kth, 0D)) * (1 + 1e-9) + 1e-6)"))
     rest = bounded.filter(gap <= F.col("r")).join(seen, ["query_id", "pivot", "ring"], "left_anti").select("query_id", "q", "pivot", "ring", each_share)
     every = near.unionByName(search(rest)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     out = every.withColumn("rank", F.row_number().over(ranked)).filter(f"rank <= {k}")
