@@ -45,7 +45,7 @@ def byte_alphabet() -> list[str]:
 class BpeCodec:
     """Vocabulary, merge rules and the automaton of one tokenizer file with an end-of-word suffix."""
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_size: int = 400_000):
         spec = json.load(open(path, encoding="utf-8"))
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         splits = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
@@ -126,7 +126,7 @@ class BpeCodec:
                         break
                 if not known:
                     break
-            if len(self._fits) > 4_000_000:
+            if len(self._fits) > 1_000_000:
                 self._fits.clear()
             self._fits[key] = known
         return known
