@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,32 +10,43 @@ from ..session import let_workers_import, materialize
 from .skew import attach_groups
 
 #: Edges that one task may join at most; larger forests go through the distributed rounds.
-ONE_TASK = 1_000_000
+ONE_TASK, BLOCK = 1_000_000, 500_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices that aren't the smallest of their component, and that smallest vertex: hooking and pointer jumping on arrays."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    f = np.arange(len(v))
+    while True:
+        fx, fy = f[x], f[y]
+        low = np.minimum(fx, fy)
+        if np.array_equal(np.maximum(fx, fy), low):
+            break
+        np.minimum.at(f, fx, low)
+        np.minimum.at(f, fy, low)
+        while not np.array_equal(f, g := f[f]):
+            f = g
+    apart = f != np.arange(len(v))
+    return v[apart], v[f[apart]]
 
 
 def _forest(batches):
-    """Edges (vertex, smallest vertex joined with it) of a partition: at most one for each vertex."""
+    """Edges (vertex, smallest vertex joined with it) of a partition, at most one for each vertex; BLOCK edges are held at once."""
     import pyarrow as pa
 
-    parent: dict[int, int] = {}
+    a, b, size = [], [], 0
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            while (x := parent.setdefault(a, a)) != a:
-                parent[a] = a = parent[x]
-            while (x := parent.setdefault(b, b)) != b:
-                parent[b] = b = parent[x]
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    out = []
-    for v in parent:
-        r = v
-        while parent[r] != r:
-            r = parent[r]
-        if r != v:
-            out.append((v, r))
-    for low in range(0, len(out), 50_000):
-        part = out[low : low + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.int64()), pa.array([e[1] for e in part], pa.int64())], ["a", "b"])
+        a.append(batch.column(0).to_numpy())
+        b.append(batch.column(1).to_numpy())
+        size += batch.num_rows
+        if size >= BLOCK:
+            x, y = forest(np.concatenate(a), np.concatenate(b))
+            a, b, size = [x], [y], len(x) // 2
+    if a:
+        x, y = forest(np.concatenate(a), np.concatenate(b))
+        for low in range(0, len(x), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[low : low + 100_000]), pa.array(y[low : low + 100_000])], ["a", "b"])
 
 
 def _state(edges: DataFrame) -> tuple:

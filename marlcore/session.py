@@ -24,8 +24,16 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
     return spark
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held by the JVM and by its Python worker.
+ARROW_ROWS = 2000
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Python workers get the folder of this package on their path, for sessions started elsewhere without it."""
+    """Python workers get the folder of this package on their path, for sessions started elsewhere without it, and batches
+    of at most ARROW_ROWS rows (a smaller setting of the session stays)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
     root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
