@@ -130,7 +130,7 @@ def _describe(size: int, percent: int):
             known = ~np.array(ids.is_null())
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             n, keys, sig, who = [], [], [], []
-            for first, group in chunks(batch.column(1).to_pylist()):
+            for first, group in chunks((x.as_py() for x in batch.column(1)), 1 << 20):
                 h, bounds = shingle_sets(group, size)
                 n.append(np.diff(bounds))
                 keys.append(set_keys(h, bounds))
@@ -210,9 +210,9 @@ def _check_tile(size: int, percent: int):
         import pyarrow as pa
 
         ids, roots, sides = (np.array(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "root", "side"))
-        texts = table.column("text").to_pylist()
+        texts = (x.as_py() for x in table.column("text"))
         h, bounds = [], [np.zeros(1, np.int64)]
-        for _, group in chunks(texts):
+        for _, group in chunks(texts, 1 << 20):
             x, b = shingle_sets(group, size)
             h.append(x)
             bounds.append(b[1:] + bounds[-1][-1])
