@@ -8,8 +8,9 @@ pooled ones, alike in both classes.  A text's words have
 the log ratio of the two likelihoods; the length-normalised ratio of the whole text and of its most toxic stretches
 give the score through a logistic curve, fitted on rows that the models it uses have not seen (two folds).
 
-The training rows are a bounded sample, MAX_ROWS labelled texts of each class by a hash of doc_id; the models are tables
-of fixed size.  Every text is scored whole.  doc_id decides the held-out rows; no id, language, source or label is an
+The training rows are a bounded sample by a hash of doc_id, MAX_ROWS toxic and ORDINARY times as many ordinary labelled texts;
+near copies among them (one of MINIMA minimum hashes of three-word shingles in common) count once, so that a family of copies
+is no evidence by its size; the curve's bias is set to the share of toxic labels.  The models are tables of fixed size.  Every text is scored whole.  doc_id decides the held-out rows; no id, language, source or label is an
 input of a score.
 
 Defined results: null or empty text gets the score of a text without evidence; rows without a label are scored alike;
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .words import LOWER, chunks, joined, mix, prefix_hash, span_hash, word_spans
 
 #: Bounds and constants: labelled rows a class, stem length in bytes, discount, stretch lengths in words, threshold.
-MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 2048, 7, 0.75, 5, (1, 4, 16), 0.7
+MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 1536, 7, 0.75, 5, (1, 4, 16), 0.7
+#: Ordinary training rows for each toxic one; minimum hashes by which near copies in the sample are known; bytes scored at once.
+ORDINARY, MINIMA, AT_ONCE = 3, 8, 1 << 19
 #: Log ratio from which a word counts as evidence.
 STRONG = 1.5
 #: Slots of each model table, a power of two.
@@ -81,7 +84,8 @@ class Table:
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
-        return self.keys[slot] == (keys >> np.uint64(32)).astype(np.uint32), self.values[slot]
+        values = self.values[slot]  # those of an empty slot are 0, those of a key never all
+        return (self.keys[slot] == (keys >> np.uint64(32)).astype(np.uint32)) & (values.max(axis=1) > 0), values
 
 
 @dataclass
@@ -133,7 +137,7 @@ class Models:
 def _rows_of(texts: list[bytes]) -> np.ndarray:
     """Distinct (word before, word, stem) of each distinct text, one row each: columns text, before, word, stem."""
     out, at = [np.zeros((0, 4), np.uint64)], 0
-    for _, group in chunks(sorted(set(texts))):
+    for _, group in chunks(sorted(set(texts)), AT_ONCE):
         words, stems, before, text = words_of(group)
         text = text.astype(np.uint64) + np.uint64(at)
         new = np.unique(mix(text * np.uint64(5) + pair_hash(before, words)), return_index=True)[1]
@@ -213,6 +217,29 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.001, steps: int
     return w
 
 
+def without_near_copies(texts: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The first of each group of texts that share a minimum hash of their three-word shingles."""
+    seen: set[tuple[int, int]] = set()
+    out, at = [], 0
+    for _, group in chunks([t for _, t in texts], AT_ONCE):
+        words, _, _, text = words_of(group)
+        h = mix(words[:-2] + mix(words[1:-1] + mix(words[2:]))) if len(words) > 2 else np.zeros(0, np.uint64)
+        h, text = h[text[2:] == text[:-2]], text[2:][text[2:] == text[:-2]]
+        first = np.searchsorted(text, np.arange(len(group) + 1))
+        full = np.flatnonzero(np.diff(first))
+        lows = np.zeros((len(group), MINIMA), np.uint64)
+        for m in range(MINIMA if len(full) else 0):
+            lows[full, m] = np.minimum.reduceat(mix(h ^ np.uint64(0x51ED270B * (m + 1))), first[:-1][full])
+        some = set(full.tolist())
+        for i, t in enumerate(group):
+            keys = {(m, int(v)) for m, v in enumerate(lows[i])} if i in some else {(-1, hash(t))}
+            if seen.isdisjoint(keys):
+                out.append(texts[at + i])
+            seen |= keys
+        at += len(group)
+    return out
+
+
 def train(rows: list[tuple[int, str, int]], base_rate: float) -> Models | None:
     """Models from (doc_id, text, toxic) rows; base_rate: the share of toxic rows among all labelled ones."""
     split = [[], []]
@@ -220,6 +247,7 @@ def train(rows: list[tuple[int, str, int]], base_rate: float) -> Models | None:
         split[1 - toxic].append((zlib.crc32(str(doc_id).encode()) % 3 // 2, (text or "").encode("utf-8", "surrogatepass")))
     if not split[0] or not split[1]:
         return None
+    split = [without_near_copies(side) for side in split]
     x, y = [], []
     for fold in (0, 1):
         learn = [[t for f, t in side if f != fold] for side in split]
@@ -227,12 +255,14 @@ def train(rows: list[tuple[int, str, int]], base_rate: float) -> Models | None:
         if all(learn):
             m = train_tables(*learn)
             for label, texts in ((1, held[0]), (0, held[1])):
-                for _, group in chunks(texts):
+                for _, group in chunks(texts, AT_ONCE):
                     x.append(m.features(group))
                     y += [label] * len(group)
     models = train_tables(*[[t for _, t in side] for side in split])
     if x and 0 < sum(y) < len(y):
         models.weights = fit_logistic(np.vstack(x), np.array(y, np.float64))
+        share = min(max(base_rate, 1e-6), 1 - 1e-6)
+        models.weights[0] += np.log(share / (1 - share)) - np.log(sum(y) / (len(y) - sum(y)))  # from the sample's share to the table's
     else:
         models.weights = np.array([np.log(base_rate / (1 - base_rate)), 1.0] + [0.0] * (1 + len(STRETCHES)))
     return models
@@ -247,9 +277,9 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = toxic / n if n else 0.0
-    sides = [known.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
-    chosen = sides[0].unionByName(sides[1])  # at most 2 * max_rows rows of 12 bytes: their broadcast has a fixed bound
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(4 * max_rows)
+    sides = [known.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, ORDINARY * max_rows), (1, max_rows))]
+    chosen = sides[0].unionByName(sides[1])  # at most (1 + ORDINARY) * max_rows rows of 12 bytes: their broadcast has a fixed bound
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * (1 + ORDINARY) * max_rows)
 
     def run(table):
         import pickle
@@ -275,7 +305,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     def scores(texts) -> np.ndarray:
         m, out = shared.value, np.full(len(texts), base)
         if m is not None:
-            for first, group in chunks(texts):
+            for first, group in chunks((x if x is None or isinstance(x, str) else x.as_py() for x in texts), AT_ONCE):
                 out[first : first + len(group)] = m.score(group)
         return out
 
@@ -294,7 +324,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
         import pyarrow as pa
 
         for batch in batches:
-            ids, s = batch.column(0), scores(batch.column(1).to_pylist())
+            ids, s = batch.column(0), scores(batch.column(1))
             held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
