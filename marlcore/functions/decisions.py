@@ -71,3 +71,39 @@ def verdict(stability: str, hopkins: str, k_agrees: str, dbcv: str, ari: str, k_
 
 def transfer_verdict(gap: str) -> Column:
     return F.expr(f"case when {gap} > 0.15 then 'does not transfer' when {gap} > 0.07 then 'weak' else 'transfers' end")
+
+
+def size_fuse(algorithms: DataFrame, rows: int, blocked: list[str] | None = None) -> DataFrame:
+    """Algorithms that take this many rows (NULL max_samples: any number) and aren't blocked."""
+    fits = F.col("max_samples").isNull() | (F.col("max_samples") >= rows)
+    return algorithms.filter(fits & ~F.col("name").isin(blocked) if blocked else fits)
+
+
+#: Algorithms that a graph winner is held against.
+REFERENCES = ("KMeans", "DBSCAN", "HDBSCAN", "MiniBatchKMeans", "GMM", "GaussianMixture")
+
+
+def artifact_warning(results: DataFrame, winner: str) -> DataFrame:
+    """winner, reference, gap, warn: a graph winner over 0.15 ARI behind the best reference algorithm."""
+    best = results.filter(F.col("algorithm").isin(*REFERENCES)).agg(F.max(F.struct("ari", "algorithm")).alias("b"))
+    own = results.filter(F.col("algorithm") == winner).select(F.col("algorithm").alias("winner"), "ari")
+    return own.crossJoin(best).select("winner", F.col("b.algorithm").alias("reference"), (F.col("b.ari") - F.col("ari")).alias("gap"), (F.col("b.ari") - F.col("ari") > 0.15).alias("warn"))
+
+
+def ensemble_gate(best_ari: str, rescue_internal: str, endorsement: str, confidence: str, maze: str) -> Column:
+    """'retreat' when no result is good enough to fuse, 'skip' when an endorsed winner needs no ensemble, else 'run'."""
+    return F.expr(
+        f"""case when coalesce({best_ari} < 0.2, false) or coalesce({best_ari} < 0.3 and not coalesce({rescue_internal} > 0.5, false), false) then 'retreat'
+        when {maze} then 'run' when {endorsement} = 'endorsed' and {confidence} >= 0.75 then 'skip' else 'run' end"""
+    )
+
+
+def retry_action(max_ari: str, action: str, attempt: str) -> Column:
+    """Whether an audit's RETRY is acted on: not below 0.2, not from 0.7 up, twice at most."""
+    return F.expr(f"{action} = 'RETRY' and {attempt} < 2 and not coalesce({max_ari} < 0.2 or {max_ari} >= 0.7, false)")
+
+
+def annealed(epoch: str, epochs: str, start: float, end: float, kind: str = "cosine") -> Column:
+    """A weight that moves from start to end over the epochs."""
+    share = f"least(1D, {epoch} / greatest({epochs} - 1, 1))"
+    return F.expr(f"{end}D + ({start}D - {end}D) * 0.5D * (1 + cos(pi() * {share}))" if kind == "cosine" else f"{start}D + ({end}D - {start}D) * {share}")
