@@ -37,7 +37,7 @@ def strip_emoji(c: Column) -> Column:
 
 
 def format_optional(c: Column, digits: int = 3) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("n/a"))
+    return F.when(c.isNull(), F.lit("n/a")).otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def token_estimate(c: Column) -> Column:

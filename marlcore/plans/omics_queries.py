@@ -16,9 +16,9 @@ def counts(t):
     return t.lineitem.groupBy(F.col("l_suppkey").alias("sample"), (F.col("l_partkey") % 200).alias("feature")).agg(F.sum("l_quantity").alias("value"))
 
 
-@query(f"WITH {COUNTS} SELECT feature, count(*) AS samples FROM c WHERE feature IN (SELECT feature FROM c WHERE value > 0 GROUP BY feature HAVING count(*) >= 50) GROUP BY feature")
+@query(f"WITH {COUNTS} SELECT feature, count(*) AS samples FROM c WHERE feature IN (SELECT feature FROM c WHERE value > 0 GROUP BY feature HAVING count(*) >= 8) GROUP BY feature")
 def gene_prevalence(t):
-    return O.prevalent_features(counts(t), 50).groupBy("feature").agg(F.count("*").alias("samples"))
+    return O.prevalent_features(counts(t), 8).groupBy("feature").agg(F.count("*").alias("samples"))
 
 
 @query(f"WITH {COUNTS} SELECT sample, feature, round(ln(1 + 10000 * value / sum(value) OVER (PARTITION BY sample)), 6) AS value FROM c")
