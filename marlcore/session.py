@@ -50,10 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{found}"
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marlcore/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes all that materialize() wrote in this application; results that still read it must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once as Parquet under shared_dir and read back, so that lost executors cost no recomputing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marlcore/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
