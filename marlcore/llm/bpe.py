@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 
 #: Fixed: code point distance that marks the last symbol of a word; above every byte-level code point.
 END = 0xF0000
+#: Stretches and pre-tokens that a codec keeps; more costs memory in every Python worker, less costs time.
+CACHE = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -45,7 +47,7 @@ def byte_alphabet() -> list[str]:
 class BpeCodec:
     """Vocabulary, merge rules and the automaton of one tokenizer file with an end-of-word suffix."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = CACHE):
         spec = json.load(open(path, encoding="utf-8"))
         model, self.suffix = spec["model"], spec["model"]["end_of_word_suffix"]
         splits = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
@@ -69,6 +71,7 @@ class BpeCodec:
             parts.setdefault(vocab[a + b], (left, right, rank))
         self._parts = parts
         self._spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
+        self._cache_size = cache_size
         self._fits: dict[int, bool] = {}
         self._lengths = [len(self._symbols(p)) for p in self.pieces]
         self._ids = {}
@@ -93,7 +96,6 @@ class BpeCodec:
             self._shorter.setdefault(i, -1)
         self._cache: dict[str, bytes] = {}
         self._last: dict[str, int] = {}
-        self._cache_size = cache_size
 
     def _symbols(self, piece: str) -> str:
         if piece.endswith(self.suffix) and len(piece) > len(self.suffix):
@@ -126,7 +128,7 @@ class BpeCodec:
                         break
                 if not known:
                     break
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 2 * self._cache_size:
                 self._fits.clear()
             self._fits[key] = known
         return known
@@ -245,9 +247,9 @@ class BpeCodec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> BpeCodec:
-    """One codec a Python worker and file."""
-    return BpeCodec(path)
+def codec(path: str, cache_size: int = CACHE) -> BpeCodec:
+    """One codec a Python worker, file and size."""
+    return BpeCodec(path, cache_size)
 
 
 def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .bpe import codec
+from .bpe import CACHE, codec
 
 #: Documents aimed at in a block of sequence numbers, and the most blocks that there are.
 BLOCK, MAX_BLOCKS = 8192, 4096
@@ -30,7 +30,7 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return out + [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack_documents(docs: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, longest: int = 2048, end_id: int = 1, with_ids: bool = False, cache_size: int = CACHE) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds ids (binary)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest has to be a power of two")
@@ -41,7 +41,7 @@ def pack_documents(docs: DataFrame, path: str, longest: int = 2048, end_id: int
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids))
-        c = codec(path)
+        c = codec(path, cache_size)
         for batch in batches:
             rows, totals = [], []
             for text in batch.column(1):
