@@ -33,9 +33,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
-    return packing.pack_documents(docs, entries.tokenizer_path())
+    return packing.pack_documents(docs, entries.tokenizer_path(), cache_size=CACHE)
 
 
+#: Pre-tokens that the packing stage keeps in a worker: few, as the workers hold what earlier stages left there.
+CACHE = 80_000
+
 STAGES = [
     ("toxicity", toxicity_stage),
     ("exact_dedup", exact_dedup_stage),
