@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..operators.skew import attach_groups
 from ..session import materialize
-from .words import LOWER, chunks, joined, mix, prefix_hash, span_hash, word_spans
+from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
 #: Parts beyond D + 1, so that a set with up to SPARE empty parts needn't tell of them; ratio of the bands' edges; elements of a
 #: tile; words of 64 bits in a bitmap; rows up to which candidates are broadcast to the texts.
@@ -152,6 +152,7 @@ def _describe(size: int, percent: int):
             offsets = pa.array(np.searchsorted(who[by], np.arange(len(n) + 1)), pa.int32())
             blob = pa.array([x.tobytes() for x in keys], pa.binary())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), blob, pa.ListArray.from_arrays(offsets, pa.array(sig[by].view(np.int64)))], ["doc_id", "n", "k", "sigs"])
+        release()
 
     return run
 
@@ -230,6 +231,8 @@ def _check_tile(size: int, percent: int):
             for i, j in link_sets(own, own_bounds, percent, side):
                 a.append(ids[rows[i]])
                 b.append(ids[rows[j]])
+        del h, bounds
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .bpe import CACHE, codec
+from .words import release
 
 #: Documents aimed at in a block of sequence numbers, and the most blocks that there are.
 BLOCK, MAX_BLOCKS = 8192, 4096
@@ -55,6 +56,7 @@ def pack_documents(docs: DataFrame, path: str, longest: int = 2048, end_id: int
                 totals.append(at)
             names = [f.name for f in kind.value_type]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[dict(zip(names, p)) for p in x] for x in rows], kind), pa.array(totals, pa.int64())], ["doc_id", "pieces", "doc_tokens"])
+        release()
 
     packed = materialize(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema), "pieces")
     blocks = min(MAX_BLOCKS, max(1, -(-packed.count() // BLOCK)))

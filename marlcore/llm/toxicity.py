@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, chunks, joined, mix, prefix_hash, span_hash, word_spans
+from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
 #: Bounds and constants: labelled rows a class, stem length in bytes, discount, stretch lengths in words, threshold.
 MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 1536, 7, 0.75, 5, (1, 4, 16), 0.7
@@ -287,7 +287,10 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
         import pyarrow as pa
 
         models = train([tuple(r) for r in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))], base)
-        return pa.table({"models": pa.array([pickle.dumps(models)], pa.binary())})
+        out = pa.table({"models": pa.array([pickle.dumps(models)], pa.binary())})
+        del models
+        release()
+        return out
 
     found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "models binary").collect()
     if not found:
@@ -316,7 +319,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
         def toxic(text):
             import pandas as pd
 
-            return pd.Series(scores(text.tolist()) >= CUT)
+            out = pd.Series(scores(text.tolist()) >= CUT)
+            release()
+            return out
 
         return docs.withColumn("__toxic", toxic(F.col("text").cast("string")))
 
@@ -327,6 +332,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
             ids, s = batch.column(0), scores(batch.column(1))
             held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(held, pa.bool_()), pa.array(s), pa.array((s >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        release()
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
