@@ -8,10 +8,11 @@ pooled ones, alike in both classes.  A text's words have
 the log ratio of the two likelihoods; the length-normalised ratio of the whole text and of its most toxic stretches
 give the score through a logistic curve, fitted on rows that the models it uses have not seen (two folds).
 
-The training rows are a bounded sample by a hash of doc_id, MAX_ROWS toxic and ORDINARY times as many ordinary labelled texts;
-near copies among them (one of MINIMA minimum hashes of three-word shingles in common) count once, so that a family of copies
-is no evidence by its size; the curve's bias is set to the share of toxic labels.  The models are tables of fixed size.  Every text is scored whole.  doc_id decides the held-out rows; no id, language, source or label is an
-input of a score.
+The counts are group-bys over all labelled rows that are not held out; the models grow with the expressions of RARE texts or more.
+Near copies among the rows (one of MINIMA minimum hashes of three-word shingles in common) count once, so that a family of copies
+is no evidence by its size.  Only the logistic curve is fitted on a bounded sample by a hash of doc_id, MAX_ROWS toxic and ORDINARY
+times as many ordinary texts; its bias is set to the share of toxic labels.  Every text is scored whole.  doc_id decides the
+held-out rows; no id, language, source or label is an input of a score.
 
 Defined results: null or empty text gets the score of a text without evidence; rows without a label are scored alike;
 labels of rows that repeat count once for each document row; with no labelled rows of one class every score is the base
@@ -20,6 +21,7 @@ rate (0 if there is none); an empty table gives an empty result; extra columns d
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -27,16 +29,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
-#: Bounds and constants: labelled rows a class, stem length in bytes, discount, stretch lengths in words, threshold.
+#: Bounds and constants: toxic texts that the curve is fitted on, stem length in bytes, discount, stretch lengths in words, threshold.
 MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 1536, 7, 0.75, 5, (1, 4, 16), 0.7
-#: Ordinary training rows for each toxic one; minimum hashes by which near copies in the sample are known; bytes scored at once.
+#: Ordinary texts for each toxic one in the curve's sample; minimum hashes by which near copies are known; bytes scored at once.
 ORDINARY, MINIMA, AT_ONCE = 3, 8, 1 << 19
 #: Log ratio from which a word counts as evidence.
 STRONG = 1.5
-#: Slots of each model table, a power of two.
-SLOTS = 1 << 21
+#: Counted expressions that a task holds before it passes them on.
+MOST_HELD = 1 << 20
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,25 +70,39 @@ def pair_hash(before: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Table:
-    """A fixed number of slots, each with a key and a few numbers; the most frequent of clashing keys keeps the slot."""
+    """Keys with a few numbers each, in twice as many slots at least; a clashing key takes the next free slot, so none is lost."""
 
     keys: np.ndarray
     values: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, values: np.ndarray, weight: np.ndarray) -> "Table":
-        size = SLOTS if len(keys) > SLOTS >> 2 else max(1 << 10, 1 << int(4 * len(keys)).bit_length())
-        size = min(size, SLOTS)
-        order = np.argsort(weight, kind="stable")
-        slot = (keys[order] & np.uint64(size - 1)).astype(np.int64)
-        k, v = np.zeros(size, np.uint32), np.zeros((size, values.shape[1]), np.float32)
-        k[slot], v[slot] = (keys[order] >> np.uint64(32)).astype(np.uint32), values[order]
+    def of(keys: np.ndarray, values: np.ndarray) -> "Table":
+        keys = np.where(keys == 0, np.uint64(1), keys)  # 0 marks an empty slot
+        size = max(1 << 10, 1 << (2 * len(keys)).bit_length())
+        k, v = np.zeros(size, np.uint64), np.zeros((size, values.shape[1]), np.float32)
+        slot, left = (keys & np.uint64(size - 1)).astype(np.int64), np.arange(len(keys))
+        while len(left):
+            free = left[k[slot[left]] == 0]
+            k[slot[free]] = keys[free]
+            there = k[slot[left]] == keys[left]
+            v[slot[left[there]]] = values[left[there]]
+            left = left[~there]
+            slot[left] = (slot[left] + 1) & (size - 1)
         return Table(k, v)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (keys & np.uint64(len(self.keys) - 1)).astype(np.int64)
-        values = self.values[slot]  # those of an empty slot are 0, those of a key never all
-        return (self.keys[slot] == (keys >> np.uint64(32)).astype(np.uint32)) & (values.max(axis=1) > 0), values
+        """Whether each key is there, and its values (any values if it is not)."""
+        keys, last = np.where(keys == 0, np.uint64(1), keys), len(self.keys) - 1
+        slot = (keys & np.uint64(last)).astype(np.int64)
+        found = self.keys[slot]
+        seen = found == keys
+        left = np.flatnonzero(~seen & (found != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & last
+            found = self.keys[slot[left]]
+            seen[left] = found == keys[left]
+            left = left[(found != keys[left]) & (found != 0)]
+        return seen, self.values[slot]
 
 
 @dataclass
@@ -134,70 +151,74 @@ class Models:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -35, 35)))
 
 
-def _rows_of(texts: list[bytes]) -> np.ndarray:
-    """Distinct (word before, word, stem) of each distinct text, one row each: columns text, before, word, stem."""
-    out, at = [np.zeros((0, 4), np.uint64)], 0
-    for _, group in chunks(sorted(set(texts)), AT_ONCE):
-        words, stems, before, text = words_of(group)
-        text = text.astype(np.uint64) + np.uint64(at)
-        new = np.unique(mix(text * np.uint64(5) + pair_hash(before, words)), return_index=True)[1]
-        out.append(np.stack([text[new], before[new], words[new], stems[new]], axis=1))
-        at += len(group)
-    return np.concatenate(out)
-
-
-def _texts_by(keys: np.ndarray, texts: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """For each of the sorted known keys, the number of distinct texts that have it."""
-    order = np.lexsort((texts, keys))
-    k, t = keys[order], texts[order]
-    first = np.ones(len(k), bool)
-    first[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-    return np.bincount(np.searchsorted(known, k[first]), minlength=len(known)).astype(np.float64)
-
-
-def train_tables(toxic: list[bytes], ordinary: list[bytes]) -> Models:
-    both = [_rows_of(toxic), _rows_of(ordinary)]
-    rows = np.concatenate(both)
-    words, at = np.unique(rows[:, 2], return_index=True)
-    stem_of_word = rows[at, 3]
-    stems = np.unique(stem_of_word)
-    stem_at = np.searchsorted(stems, stem_of_word)
-    contexts = np.unique(rows[:, 1])
-    pair_keys = [pair_hash(b[:, 1], b[:, 2]) for b in both]
-    pairs, at = np.unique(np.concatenate(pair_keys), return_index=True)
-    left = np.searchsorted(contexts, rows[at, 1])
-    count = lambda column, known: [_texts_by(b[:, column], b[:, 0], known) for b in both]
-    word_n, stem_n, context_n = count(2, words), count(3, stems), count(1, contexts)
-    pair_n = [_texts_by(k, b[:, 0], pairs) for k, b in zip(pair_keys, both)]
+#: Kinds of counted expressions: a word after another (a: the one before, b: the word), a word (a: its stem), a stem, a word before others.
+PAIR, WORD, STEM_OF, CONTEXT = range(4)
+#: Columns of counts: toxic and ordinary texts, each of the folds 0 and 1.
+SIDES = ["n0", "n1", "n2", "n3"]
+
+
+def tally(texts: list[bytes], side: np.ndarray) -> tuple[np.ndarray, ...]:
+    """kind, a, b of the expressions in the texts, and for each side the number of texts that have it."""
+    words, stems, before, text = words_of(texts)
+    none, out = np.zeros(len(words), np.uint64), []
+    for kind, a, b in ((PAIR, before, words), (WORD, stems, words), (STEM_OF, none, stems), (CONTEXT, none, before)):
+        h = pair_hash(a, b)
+        new = np.unique(mix(text.astype(np.uint64) * np.uint64(5) + h), return_index=True)[1]  # once for each text
+        _, at, which = np.unique(h[new], return_index=True, return_inverse=True)
+        n = np.bincount(which * 4 + side[text[new]], minlength=4 * len(at)).reshape(-1, 4)
+        out.append((np.full(len(at), kind, np.int8), a[new][at], b[new][at], n))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row for each kind, a, b with the sums of the counts."""
+    kind, a, b, n = (np.concatenate(x) for x in zip(*parts))
+    _, at, which = np.unique(mix(pair_hash(a, b) + kind.astype(np.uint64)), return_index=True, return_inverse=True)
+    return kind[at], a[at], b[at], np.stack([np.bincount(which, n[:, j], len(at)) for j in range(4)], axis=1).astype(np.int64)
+
+
+@dataclass
+class Counts:
+    """What the labelled texts give: keys and counts (a column for each of SIDES) of the expressions of RARE texts or more,
+    for each stem also the sum over its words, and totals over all expressions."""
+
+    pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+    stems: tuple[np.ndarray, np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
+    word_total: np.ndarray
+    stem_total: np.ndarray
+    known_stems: dict[tuple[int, ...], tuple[int, int]]
+
+
+def model_of(c: Counts, folds: tuple[int, ...]) -> Models:
+    """The tables from the texts of the folds."""
+    of = lambda n: np.stack([n[..., list(folds)].sum(-1), n[..., [2 + f for f in folds]].sum(-1)]).astype(np.float64)
+    word_n, stem_n, context_n, pair_n = of(c.words[2]), of(c.stems[1]), of(c.contexts[1]), of(c.pairs[2])
     common = lambda n: n[0] + n[1] >= RARE
-    pooled_stem = (stem_n[0] + stem_n[1] + 1) / (stem_n[0] + stem_n[1] + 1).sum()
-    pooled_word = (word_n[0] + word_n[1]) / np.bincount(stem_at, word_n[0] + word_n[1], len(stems))[stem_at]  # within its stem
+    pooled_total = of(c.stem_total).sum() + c.known_stems[folds][0]
+    pooled_stem = (stem_n[0] + stem_n[1] + 1) / pooled_total
+    stem_at = np.searchsorted(c.stems[0], c.words[1])
+    pooled_word = (word_n[0] + word_n[1]) / np.maximum(of(c.stems[2]).sum(0), 1)[stem_at]  # within its stem
+    left = np.searchsorted(c.contexts[0], c.pairs[0])
     stem_p, word_p, pair_p, backs, unseen = [], [], [], [], []
-    for b, sn, wn, cn, pn in zip(both, stem_n, word_n, context_n, pair_n):
-        own = np.where(common(stem_n), sn, 0)
-        total = sn.sum() + 1
-        taken = np.maximum(own - DISCOUNT, 0) / total
+    for sn, wn, cn, pn, stem_total, word_total in zip(stem_n, word_n, context_n, pair_n, of(c.stem_total), of(c.word_total)):
+        taken = np.maximum(np.where(common(stem_n), sn, 0) - DISCOUNT, 0) / (stem_total + 1)
         back = 1 - taken.sum()
         # stems and words without counts of their own are as likely in both classes, up to the mass left for them
         stem_p.append(taken + back * pooled_stem)
-        own = np.where(common(word_n), wn, 0)
-        total = wn.sum() + 1
-        taken = np.maximum(own - DISCOUNT, 0) / total
+        taken = np.maximum(np.where(common(word_n), wn, 0) - DISCOUNT, 0) / (word_total + 1)
         word_back = 1 - taken.sum()
         word_p.append(taken + word_back * pooled_word * stem_p[-1][stem_at])
-        unseen.append((back * pooled_stem.min(), word_back))
-        own = np.where(common(pair_n), pn, 0)
-        taken = np.maximum(own - DISCOUNT, 0) / np.maximum(cn[left], 1)
-        given = np.bincount(left, taken, len(contexts))
+        unseen.append((back * (c.known_stems[folds][1] + 1) / pooled_total, word_back))
+        taken = np.maximum(np.where(common(pair_n), pn, 0) - DISCOUNT, 0) / np.maximum(cn[left], 1)
+        given = np.bincount(left, taken, len(cn))
         shrink = np.maximum(given, 1.0)  # a context can precede several words in one text
         pair_p.append(taken / shrink[left])
         backs.append(np.maximum(1 - given / shrink, 0.05))
-    stack = lambda x: np.stack(x, axis=1)
-    c, p = common(context_n), common(pair_n)
-    w, s = common(word_n), common(stem_n)
+    table = lambda keys, x, n: Table.of(keys[common(n)], np.stack(x, axis=1)[common(n)])
     return Models(
-        Table.of(pairs[p], stack(pair_p)[p], (pair_n[0] + pair_n[1])[p]), Table.of(contexts[c], stack(backs)[c], (context_n[0] + context_n[1])[c]),
-        Table.of(words[w], stack(word_p)[w], (word_n[0] + word_n[1])[w]), Table.of(stems[s], stack(stem_p)[s], (stem_n[0] + stem_n[1])[s]),
+        table(pair_hash(c.pairs[0], c.pairs[1]), pair_p, pair_n), table(c.contexts[0], backs, context_n), table(c.words[0], word_p, word_n), table(c.stems[0], stem_p, stem_n),
         np.array([[u[0] for u in unseen], [u[1] for u in unseen]]), np.zeros(3 + len(STRETCHES)),
     )
 
@@ -217,87 +238,138 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.001, steps: int
     return w
 
 
-def without_near_copies(texts: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    """The first of each group of texts that share a minimum hash of their three-word shingles."""
-    seen: set[tuple[int, int]] = set()
-    out, at = [], 0
-    for _, group in chunks([t for _, t in texts], AT_ONCE):
-        words, _, _, text = words_of(group)
-        h = mix(words[:-2] + mix(words[1:-1] + mix(words[2:]))) if len(words) > 2 else np.zeros(0, np.uint64)
-        h, text = h[text[2:] == text[:-2]], text[2:][text[2:] == text[:-2]]
-        first = np.searchsorted(text, np.arange(len(group) + 1))
-        full = np.flatnonzero(np.diff(first))
-        lows = np.zeros((len(group), MINIMA), np.uint64)
-        for m in range(MINIMA if len(full) else 0):
-            lows[full, m] = np.minimum.reduceat(mix(h ^ np.uint64(0x51ED270B * (m + 1))), first[:-1][full])
-        some = set(full.tolist())
-        for i, t in enumerate(group):
-            keys = {(m, int(v)) for m, v in enumerate(lows[i])} if i in some else {(-1, hash(t))}
-            if seen.isdisjoint(keys):
-                out.append(texts[at + i])
-            seen |= keys
-        at += len(group)
-    return out
-
-
-def train(rows: list[tuple[int, str, int]], base_rate: float) -> Models | None:
-    """Models from (doc_id, text, toxic) rows; base_rate: the share of toxic rows among all labelled ones."""
-    split = [[], []]
-    for doc_id, text, toxic in sorted(rows, key=lambda r: (r[0], r[1] or "")):
-        split[1 - toxic].append((zlib.crc32(str(doc_id).encode()) % 3 // 2, (text or "").encode("utf-8", "surrogatepass")))
-    if not split[0] or not split[1]:
-        return None
-    split = [without_near_copies(side) for side in split]
-    x, y = [], []
-    for fold in (0, 1):
-        learn = [[t for f, t in side if f != fold] for side in split]
-        held = [[t for f, t in side if f == fold] for side in split]
-        if all(learn):
-            m = train_tables(*learn)
-            for label, texts in ((1, held[0]), (0, held[1])):
-                for _, group in chunks(texts, AT_ONCE):
-                    x.append(m.features(group))
-                    y += [label] * len(group)
-    models = train_tables(*[[t for _, t in side] for side in split])
-    if x and 0 < sum(y) < len(y):
-        models.weights = fit_logistic(np.vstack(x), np.array(y, np.float64))
-        share = min(max(base_rate, 1e-6), 1 - 1e-6)
-        models.weights[0] += np.log(share / (1 - share)) - np.log(sum(y) / (len(y) - sum(y)))  # from the sample's share to the table's
-    else:
-        models.weights = np.array([np.log(base_rate / (1 - base_rate)), 1.0] + [0.0] * (1 + len(STRETCHES)))
-    return models
+def copy_keys(texts: list[bytes]) -> list[list[int]]:
+    """The minimum hashes of each text's three-word shingles, by which near copies are known; a shorter text has one of all its bytes."""
+    words, _, _, text = words_of(texts)
+    h = mix(words[:-2] + mix(words[1:-1] + mix(words[2:]))) if len(words) > 2 else np.zeros(0, np.uint64)
+    h, text = h[text[2:] == text[:-2]], text[2:][text[2:] == text[:-2]]
+    first = np.searchsorted(text, np.arange(len(texts) + 1))
+    full = np.flatnonzero(np.diff(first))
+    lows = np.zeros((len(texts), MINIMA), np.uint64)
+    for m in range(MINIMA if len(full) else 0):
+        lows[full, m] = mix(np.minimum.reduceat(mix(h ^ np.uint64(0x51ED270B * (m + 1))), first[:-1][full]) + np.uint64(m))
+    lows, some = lows.view(np.int64), set(full.tolist())
+    return [lows[i].tolist() if i in some else [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)] for i, t in enumerate(texts)]
+
+
+def _training_texts(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labelled texts of docs (uid, doc_id, text, side, keys), and uid, doc_id, side of those that are no near copies of
+    an earlier one of their class: a text counts if it is the first with each of its keys."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for _, group in chunks((x.as_py() for x in batch.column(1)), AT_ONCE):
+                keys += copy_keys(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+        release()
+
+    side = (F.when(F.col("toxic") == 1, 0).otherwise(2) + F.floor(F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 / 2"))).cast("int")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", side.alias("side"))
+    rows = materialize(rows.mapInArrow(run, "doc_id bigint, text string, side int, keys array<bigint>").withColumn("uid", F.monotonically_increasing_id()), "labelled")
+    me = F.struct("doc_id", F.xxhash64("text").alias("h"), "uid", "side", F.size("keys").alias("n"))
+    first = rows.select(me.alias("me"), F.floor(F.col("side") / 2).alias("class"), F.explode("keys").alias("key")).groupBy("class", "key").agg(F.min("me").alias("me"))
+    kept = first.groupBy("me").agg(F.count("*").alias("won")).filter("won = me.n").select("me.uid", "me.doc_id", "me.side")
+    return rows, materialize(kept, "kept")
+
+
+def expression_counts(rows: DataFrame) -> DataFrame:
+    """kind, a, b and SIDES of every expression in rows(text, side): numbers of distinct texts, over all rows."""
+    import pyarrow as pa
+
+    def batch_of(parts):
+        kind, a, b, n = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(n[:, j]) for j in range(4))], ["kind", "a", "b", *SIDES])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            sides = np.array(batch.column(1).to_pylist(), np.int64)
+            for first, group in chunks((x.as_py() for x in batch.column(0)), AT_ONCE):
+                parts.append(tally(group, sides[first : first + len(group)]))
+                held += len(parts[-1][0])
+                if held > MOST_HELD:
+                    yield batch_of(parts)
+                    parts, held = [], 0
+        if parts:
+            yield batch_of(parts)
+        release()
+
+    found = rows.select("text", "side").mapInArrow(run, "kind tinyint, a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in SIDES))
+    return found.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in SIDES))
+
+
+def collected_counts(counts: DataFrame) -> Counts:
+    """The expressions of RARE texts or more come to the driver, with totals over all."""
+    n = " + ".join(SIDES)
+    totals = {r.kind: np.array([r[c] for c in SIDES]) for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in SIDES)).collect()}
+    by_fold = {(0,): "n0 + n2", (1,): "n1 + n3", (0, 1): n}
+    stems = counts.filter(f"kind = {STEM_OF}")
+    known = stems.agg(*(f for x in by_fold.values() for f in (F.expr(f"count_if({x} > 0)"), F.expr(f"coalesce(min({x}) filter (where {x} > 0), 0)")))).first()
+    sums = counts.filter(f"kind = {WORD}").groupBy(F.col("a").alias("b")).agg(*(F.sum(c).alias("s" + c) for c in SIDES))
+    stems = stems.filter(f"{n} >= {RARE}").join(sums, "b").select("b", *SIDES, *("s" + c for c in SIDES))
+
+    def arrays(table: DataFrame, keys: list[str], *columns: list[str]) -> tuple[np.ndarray, ...]:
+        t = table.toArrow()
+        keys = [t.column(k).to_numpy().view(np.uint64) for k in keys]
+        order = np.argsort(keys[0], kind="stable")
+        return (*(k[order] for k in keys), *(np.stack([t.column(x).to_numpy() for x in c], axis=1)[order] for c in columns))
+
+    common = lambda kind: counts.filter(f"kind = {kind} and {n} >= {RARE}")
+    return Counts(
+        arrays(common(PAIR), ["a", "b"], SIDES), arrays(common(WORD), ["b", "a"], SIDES), arrays(stems, ["b"], SIDES, ["s" + c for c in SIDES]), arrays(common(CONTEXT), ["b"], SIDES),
+        totals.get(WORD, np.zeros(4)), totals.get(STEM_OF, np.zeros(4)), {f: (known[2 * i], known[2 * i + 1]) for i, f in enumerate(by_fold)},
+    )
 
 
 def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[Models | None, float]:
-    """Models from at most max_rows rows of each class that are not held out, and the share of toxic labels.
+    """Models counted over all labelled rows that are not held out, and the share of toxic labels.
 
-    One task trains on the bounded sample; only the tables, whose size is fixed, come to the driver.
+    Only the logistic curve is fitted on a sample, of at most max_rows toxic texts and ORDINARY times as many ordinary ones.
     """
+    import pyarrow as pa
+
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = toxic / n if n else 0.0
-    sides = [known.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in ((0, ORDINARY * max_rows), (1, max_rows))]
-    chosen = sides[0].unionByName(sides[1])  # at most (1 + ORDINARY) * max_rows rows of 12 bytes: their broadcast has a fixed bound
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").limit(2 * (1 + ORDINARY) * max_rows)
-
-    def run(table):
-        import pickle
-
-        import pyarrow as pa
+    if not 0 < toxic < n:
+        return None, base
+    rows, kept = _training_texts(docs, known)
+    sizes = dict(kept.groupBy("side").count().collect())
+    if not all(sizes.get(c, 0) + sizes.get(c + 1, 0) for c in (0, 2)):
+        return None, base
+    counts = collected_counts(materialize(expression_counts(rows.join(kept.select("uid").hint("shuffle_hash"), "uid")), "counts"))
+    # the model for the held rows of a fold knows the other fold only
+    folds = [model_of(counts, (1 - f,)) if sizes.get(1 - f) and sizes.get(3 - f) else None for f in (0, 1)]
+    models = model_of(counts, (0, 1))
+    del counts
+    shared = docs.sparkSession.sparkContext.broadcast(folds)
 
-        models = train([tuple(r) for r in zip(*(table.column(c).to_pylist() for c in ("doc_id", "text", "toxic")))], base)
-        out = pa.table({"models": pa.array([pickle.dumps(models)], pa.binary())})
-        del models
+    def run(batches):
+        for batch in batches:
+            sides = np.array(batch.column(1).to_pylist(), np.int64)
+            for first, group in chunks((x.as_py() for x in batch.column(0)), AT_ONCE):
+                for f, m in enumerate(shared.value):
+                    at = np.flatnonzero(sides[first : first + len(group)] % 2 == f)
+                    if m is not None and len(at):
+                        y = (sides[first + at] < 2).astype(np.int32)
+                        yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(m.features([group[i] for i in at]).tolist())], ["y", "x"])
         release()
-        return out
-
-    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, "models binary").collect()
-    if not found:
-        return None, base
-    import pickle
 
-    return pickle.loads(found[0][0]), base
+    sample = [kept.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id", "uid").limit(k) for c, k in (("side >= 2", ORDINARY * max_rows), ("side < 2", max_rows))]
+    sample = F.broadcast(sample[0].unionByName(sample[1]).select("uid"))  # at most (1 + ORDINARY) * max_rows rows
+    found = sorted((r.y, r.x) for r in rows.join(sample, "uid").select("text", "side").mapInArrow(run, "y int, x array<double>").collect())
+    shared.destroy()
+    y = np.array([r[0] for r in found], np.float64)
+    if 0 < y.sum() < len(y):
+        models.weights = fit_logistic(np.array([r[1] for r in found]), y)
+        share = min(max(base, 1e-6), 1 - 1e-6)
+        models.weights[0] += np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum()))  # from the sample's share to the table's
+    else:
+        models.weights = np.array([np.log(base / (1 - base)), 1.0] + [0.0] * (1 + len(STRETCHES)))
+    return models, base
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:

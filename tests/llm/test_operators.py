@@ -294,6 +294,36 @@ def test_toxicity_defined_cases(spark):
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{rng.integers(40)}x{rng.integers(40)}" for _ in range(12)) + (" foul word" if i % 2 else " fair word") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    docs = frame(spark, list(enumerate(texts)))
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    models, _ = toxicity.trained_models(docs, labels, 4)  # the sample of the curve is no bound of the counts
+    rows, texts_kept = toxicity._training_texts(docs, labels.filter(f"doc_id in ({', '.join(map(str, kept))})"))
+    got = {(r.kind, r.a, r.b): r for r in toxicity.expression_counts(rows.join(texts_kept.select("uid"), "uid")).collect()}
+    want = collections.Counter()
+    alive = {r.doc_id for r in texts_kept.collect()}
+    for i in alive:
+        words, stems, before, _ = toxicity.words_of([texts[i].encode()])
+        for key in {(0, b, w) for b, w in zip(before.view(np.int64).tolist(), words.view(np.int64).tolist())}:
+            want[key, i % 2] += 1
+    assert len(alive) > 150
+    for (key, toxic), n in want.items():
+        assert n == (got[key].n0 + got[key].n1 if toxic else got[key].n2 + got[key].n3)
+    often = {k[2] for (k, _) in want if sum(want[k, c] for c in (0, 1)) >= toxicity.RARE}
+    assert models.words.get(np.array(sorted(often), np.int64).view(np.uint64))[0].all()
+
+
+def test_toxicity_table_keeps_every_key():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8)  # all clash in their low bits
+    keys = np.unique(np.concatenate([keys, np.zeros(1, np.uint64)]))
+    table = toxicity.Table.of(keys, np.arange(len(keys))[:, None])
+    seen, values = table.get(keys)
+    assert seen.all() and values[:, 0].tolist() == list(range(len(keys)))
+    assert not table.get(keys + np.uint64(3))[0].any()
+
 
 # 9
 
