@@ -2,7 +2,7 @@
 
 Two word models are trained, on toxic and on ordinary labelled texts.  Each is an interpolated Kneser-Ney model: word
 after word, then the word by the number of its distinct left neighbours, then the word's stem (its first STEM bytes) by the
-number of its distinct words, then counts pooled over both classes.  Counts are numbers of distinct training texts, so that a
+number of its distinct pairs of a left neighbour and a word, then counts pooled over both classes.  Pairs are counted by distinct training texts, so that a
 text which repeats itself counts once; expressions of fewer than RARE texts have no counts of their own and share the
 pooled ones, alike in both classes.  A text's words have
 the log ratio of the two likelihoods; the length-normalised ratio of the whole text and of its most toxic stretches
@@ -155,6 +155,8 @@ class Models:
 PAIR, WORD, STEM_OF, CONTEXT = range(4)
 #: Columns of counts: toxic and ordinary texts, each of the folds 0 and 1.
 SIDES = ["n0", "n1", "n2", "n3"]
+#: Columns of continuation counts: toxic and ordinary texts, each of fold 0, fold 1 and both; a count over both folds is no sum.
+SEEN = {"t0": "n0", "t1": "n1", "t2": "n0 + n1", "o0": "n2", "o1": "n3", "o2": "n2 + n3"}
 
 
 def tally(texts: list[bytes], side: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -179,38 +181,41 @@ def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 @dataclass
 class Counts:
-    """What the labelled texts give: keys and counts (a column for each of SIDES) of the expressions of RARE texts or more,
-    for each stem also the sum over its words, and totals over all expressions."""
+    """What the labelled texts give.  Of the expressions of RARE texts or more: keys, numbers of texts (a column for each of
+    SIDES) and, of words and stems, continuation counts (for each of SEEN): a word's distinct left neighbours, a stem's
+    distinct pairs of a left neighbour and a word.  The total is the number of all distinct pairs."""
 
     pairs: tuple[np.ndarray, np.ndarray, np.ndarray]
-    words: tuple[np.ndarray, np.ndarray, np.ndarray]
+    words: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     stems: tuple[np.ndarray, np.ndarray, np.ndarray]
     contexts: tuple[np.ndarray, np.ndarray]
-    word_total: np.ndarray
-    stem_total: np.ndarray
-    known_stems: dict[tuple[int, ...], tuple[int, int]]
+    total: np.ndarray
+    known_stems: list[tuple[int, int]]
 
 
 def model_of(c: Counts, folds: tuple[int, ...]) -> Models:
     """The tables from the texts of the folds."""
+    which = folds[0] if len(folds) == 1 else 2
     of = lambda n: np.stack([n[..., list(folds)].sum(-1), n[..., [2 + f for f in folds]].sum(-1)]).astype(np.float64)
-    word_n, stem_n, context_n, pair_n = of(c.words[2]), of(c.stems[1]), of(c.contexts[1]), of(c.pairs[2])
+    lower = lambda n: np.stack([n[..., which], n[..., 3 + which]]).astype(np.float64)
+    word_texts, stem_texts, context_n, pair_n = of(c.words[2]), of(c.stems[1]), of(c.contexts[1]), of(c.pairs[2])
+    word_n, stem_n, known = lower(c.words[3]), lower(c.stems[2]), c.known_stems[which]
     common = lambda n: n[0] + n[1] >= RARE
-    pooled_total = of(c.stem_total).sum() + c.known_stems[folds][0]
+    pooled_total = lower(c.total).sum() + known[0]
     pooled_stem = (stem_n[0] + stem_n[1] + 1) / pooled_total
     stem_at = np.searchsorted(c.stems[0], c.words[1])
-    pooled_word = (word_n[0] + word_n[1]) / np.maximum(of(c.stems[2]).sum(0), 1)[stem_at]  # within its stem
+    pooled_word = (word_n[0] + word_n[1]) / np.maximum(stem_n[0] + stem_n[1], 1)[stem_at]  # within its stem
     left = np.searchsorted(c.contexts[0], c.pairs[0])
     stem_p, word_p, pair_p, backs, unseen = [], [], [], [], []
-    for sn, wn, cn, pn, stem_total, word_total in zip(stem_n, word_n, context_n, pair_n, of(c.stem_total), of(c.word_total)):
-        taken = np.maximum(np.where(common(stem_n), sn, 0) - DISCOUNT, 0) / (stem_total + 1)
+    for sn, wn, cn, pn, stem_total, word_total in zip(stem_n, word_n, context_n, pair_n, lower(c.total), lower(c.total)):
+        taken = np.maximum(np.where(common(stem_texts), sn, 0) - DISCOUNT, 0) / (stem_total + 1)
         back = 1 - taken.sum()
         # stems and words without counts of their own are as likely in both classes, up to the mass left for them
         stem_p.append(taken + back * pooled_stem)
-        taken = np.maximum(np.where(common(word_n), wn, 0) - DISCOUNT, 0) / (word_total + 1)
+        taken = np.maximum(np.where(common(word_texts), wn, 0) - DISCOUNT, 0) / (word_total + 1)
         word_back = 1 - taken.sum()
         word_p.append(taken + word_back * pooled_word * stem_p[-1][stem_at])
-        unseen.append((back * (c.known_stems[folds][1] + 1) / pooled_total, word_back))
+        unseen.append((back * (known[1] + 1) / pooled_total, word_back))
         taken = np.maximum(np.where(common(pair_n), pn, 0) - DISCOUNT, 0) / np.maximum(cn[left], 1)
         given = np.bincount(left, taken, len(cn))
         shrink = np.maximum(given, 1.0)  # a context can precede several words in one text
@@ -218,7 +223,7 @@ def model_of(c: Counts, folds: tuple[int, ...]) -> Models:
         backs.append(np.maximum(1 - given / shrink, 0.05))
     table = lambda keys, x, n: Table.of(keys[common(n)], np.stack(x, axis=1)[common(n)])
     return Models(
-        table(pair_hash(c.pairs[0], c.pairs[1]), pair_p, pair_n), table(c.contexts[0], backs, context_n), table(c.words[0], word_p, word_n), table(c.stems[0], stem_p, stem_n),
+        table(pair_hash(c.pairs[0], c.pairs[1]), pair_p, pair_n), table(c.contexts[0], backs, context_n), table(c.words[0], word_p, word_texts), table(c.stems[0], stem_p, stem_texts),
         np.array([[u[0] for u in unseen], [u[1] for u in unseen]]), np.zeros(3 + len(STRETCHES)),
     )
 
@@ -300,15 +305,21 @@ def expression_counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in SIDES))
 
 
+def lower_orders(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All words (b, stem a) with SIDES and SEEN, the numbers of their distinct left neighbours; all stems (b) with SEEN, the
+    numbers of their distinct pairs of a left neighbour and a word."""
+    seen = [F.expr(f"count_if({n} > 0)").alias(c) for c, n in SEEN.items()]
+    words = counts.filter(f"kind = {WORD}").drop("kind").join(counts.filter(f"kind = {PAIR}").groupBy("b").agg(*seen), "b")
+    words = materialize(words, "words")
+    return words, materialize(words.groupBy(F.col("a").alias("b")).agg(*(F.sum(c).alias(c) for c in SEEN)), "stems")
+
+
 def collected_counts(counts: DataFrame) -> Counts:
     """The expressions of RARE texts or more come to the driver, with totals over all."""
-    n = " + ".join(SIDES)
-    totals = {r.kind: np.array([r[c] for c in SIDES]) for r in counts.groupBy("kind").agg(*(F.sum(c).alias(c) for c in SIDES)).collect()}
-    by_fold = {(0,): "n0 + n2", (1,): "n1 + n3", (0, 1): n}
-    stems = counts.filter(f"kind = {STEM_OF}")
-    known = stems.agg(*(f for x in by_fold.values() for f in (F.expr(f"count_if({x} > 0)"), F.expr(f"coalesce(min({x}) filter (where {x} > 0), 0)")))).first()
-    sums = counts.filter(f"kind = {WORD}").groupBy(F.col("a").alias("b")).agg(*(F.sum(c).alias("s" + c) for c in SIDES))
-    stems = stems.filter(f"{n} >= {RARE}").join(sums, "b").select("b", *SIDES, *("s" + c for c in SIDES))
+    n, seen = " + ".join(SIDES), list(SEEN)
+    words, stems = lower_orders(counts)
+    both = [f"t{i} + o{i}" for i in range(3)]
+    sums = stems.agg(*(F.sum(c) for c in seen), *(f for x in both for f in (F.expr(f"count_if({x} > 0)"), F.expr(f"coalesce(min({x}) filter (where {x} > 0), 0)")))).first()
 
     def arrays(table: DataFrame, keys: list[str], *columns: list[str]) -> tuple[np.ndarray, ...]:
         t = table.toArrow()
@@ -318,8 +329,9 @@ def collected_counts(counts: DataFrame) -> Counts:
 
     common = lambda kind: counts.filter(f"kind = {kind} and {n} >= {RARE}")
     return Counts(
-        arrays(common(PAIR), ["a", "b"], SIDES), arrays(common(WORD), ["b", "a"], SIDES), arrays(stems, ["b"], SIDES, ["s" + c for c in SIDES]), arrays(common(CONTEXT), ["b"], SIDES),
-        totals.get(WORD, np.zeros(4)), totals.get(STEM_OF, np.zeros(4)), {f: (known[2 * i], known[2 * i + 1]) for i, f in enumerate(by_fold)},
+        arrays(common(PAIR), ["a", "b"], SIDES), arrays(words.filter(f"{n} >= {RARE}"), ["b", "a"], SIDES, seen),
+        arrays(common(STEM_OF).select("b", *SIDES).join(stems, "b"), ["b"], SIDES, seen), arrays(common(CONTEXT), ["b"], SIDES),
+        np.array([x or 0 for x in sums[:6]], np.int64), [(sums[6 + 2 * i], sums[7 + 2 * i]) for i in range(3)],
     )
 
 

@@ -316,6 +316,28 @@ def test_toxicity_counts_all_labelled_rows(spark):
     assert models.words.get(np.array(sorted(often), np.int64).view(np.uint64))[0].all()
 
 
+def test_toxicity_continuation_counts(spark):
+    texts = [f"only fixed{i} san francisco {'abcde'[i % 5]}{i} often" for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    known = labels.filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
+    rows, _ = toxicity._training_texts(frame(spark, list(enumerate(texts))), known)
+    words, stems = (x.collect() for x in toxicity.lower_orders(toxicity.expression_counts(rows)))
+    want, of_stem = collections.defaultdict(set), collections.defaultdict(set)
+    for i in (r.doc_id for r in known.collect()):
+        fold = zlib.crc32(str(i).encode()) % 3 // 2
+        w, s, before, _ = toxicity.words_of([texts[i].encode()])
+        for b, x, y in zip(before.view(np.int64).tolist(), w.view(np.int64).tolist(), s.view(np.int64).tolist()):
+            for c in (fold, 2):
+                want[x, "ot"[i % 2] + str(c)].add(b)
+                of_stem[y, "ot"[i % 2] + str(c)].add((b, x))
+    assert all(r[c] == len(want[r.b, c]) for r in words for c in toxicity.SEEN)
+    assert all(r[c] == len(of_stem[r.b, c]) for r in stems for c in toxicity.SEEN)
+    francisco, often = (toxicity.words_of([x])[0].view(np.int64)[0] for x in (b"francisco", b"often"))
+    by = {r.b: r for r in words}
+    assert by[francisco].t2 == 1 and by[often].t2 > 5  # in as many texts, but after one word only
+    assert by[francisco].n0 + by[francisco].n1 == by[often].n0 + by[often].n1
+
+
 def test_toxicity_table_keeps_every_key():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8)  # all clash in their low bits
     keys = np.unique(np.concatenate([keys, np.zeros(1, np.uint64)]))
