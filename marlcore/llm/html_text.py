@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from .tree import fit_tree, predict
 
 #: Names of HTML elements and of common page furniture.
-RAW = "script|style|template|noscript|textarea|svg|math|iframe|object|canvas|select|option|title|audio|video"
+#: Elements without article text: those whose content is no markup, which last to their end tag or to the end of the page,
+#: and others, which are skipped only up to an end tag of their own.
+RAW, SKIPPED = "script|style|textarea|iframe|title", "template|noscript|svg|object|canvas|select|audio|video"
 BLOCK = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body br button caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset search head".split())
+FURNITURE = frozenset("nav header footer aside form menu dialog button datalist fieldset search head".split())
 CONTENT = frozenset("article main".split())
 FURNITURE_NAMES = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer foot "
@@ -35,11 +37,12 @@ FURNITURE_NAMES = frozenset(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^\"'>])*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^\"'>])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^\"'>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:--!?>|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_REST}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>{_REST})(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
+_SKIPPED = re.compile(rf"<(/?)({SKIPPED})(?=[\s/>])({_REST})>", re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -87,6 +90,18 @@ def _place(tag: str, attrs: str) -> int:
     return 2 if tag in CONTENT else 1
 
 
+def skips(page: str) -> dict[int, int]:
+    """Start and end of the elements SKIPPED that have an end tag of their own; a self-closed one has no content."""
+    out, open_at = {}, {}
+    for m in _SKIPPED.finditer(page):
+        starts = open_at.setdefault(m[2].lower(), [])
+        if not m[1] and not m[3].endswith("/"):
+            starts.append(m.start())
+        elif m[1] and starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[tuple[str, int, float, int]]:
     """(text, words, link density, place) of each text block with words, in page order."""
     out, parts, link_words, at, link, places = [], [], 0, 0, 0, [("", 1)]
@@ -98,14 +113,19 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
             out.append((text, words, min(1.0, link_words / words), places[-1][1]))
         parts, link_words = [], 0
 
-    for m in _TOKEN.finditer(page):
+    ends = skips(page)
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(piece := page[at : m.start()])
             link_words += len(piece.split()) if link else 0
-        at = m.end()
+        at = ends.get(m.start(), m.end())
         tag = (m["tag"] or "").lower()
+        if at > m.end():
+            if tag in ("select", "video", "audio"):
+                close()
+            continue
         if not tag:
-            if (m["raw"] or "").lower() in ("title", "textarea", "select", "option", "iframe", "video", "audio"):
+            if (m["raw"] or "").lower() in ("title", "textarea", "iframe"):
                 close()
             continue
         if tag in BLOCK:

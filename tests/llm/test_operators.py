@@ -358,6 +358,23 @@ and a line.</p><p>Short.<br>After the break &lt;tag&gt;.</p><aside>Related stori
 <form><label>Name</label><input name="n"></form><footer>&copy; 2024</footer></body></html>"""
 
 
+@pytest.mark.parametrize(
+    "middle",
+    ["<video-player></video-player>", "<title-bar>", "<object-viewer x='1'>", "<svg class='a'/>", "<math/>", "<svg>", "<video src='a'>", "<svg><svg><text>no</text></svg></svg>", "<video>no</video>", "<video><video>no</video>", "<noscript><iframe src=x></noscript>"],
+)
+def test_html_text_after_special_elements(middle):
+    tree = html_text.train_block_tree()
+    first, last = "The first part of the article has enough words to stay.", "The last part of the article has enough words to stay too."
+    assert html_text.main_text(f"<article><p>{first}</p>{middle}<p>{last}</p></article>", tree) == f"{first}\n{last}"
+
+
+def test_html_text_math_and_options():
+    tree = html_text.train_block_tree()
+    text = html_text.main_text("<article><p>Einstein wrote that <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> holds for all of us.</p><select><option>no<option>no2</select>"
+                               "<datalist><option>one<option>two</datalist><p>And this is the end of the whole article.</p></article>", tree)
+    assert text == "Einstein wrote that E=mc holds for all of us.\nAnd this is the end of the whole article."
+
+
 def test_html_text(spark):
     want = "Title & more\nFirst paragraph with bold text, and a line.\nShort.\nAfter the break <tag>.\nLast one\nUnclosed one"
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<div"), (4, "u", "<!-- open"), (5, "u", "<p>" + "word " * 50_000 + "</p>")]
