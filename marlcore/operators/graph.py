@@ -138,7 +138,7 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int = 5) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """source, id, d: path lengths from each source over undirected edges with weights of 1e-12 at least (min-plus rounds)."""
+    """source, id, d: path lengths from each source over undirected edges with weights of 1e-12 at least (min-plus rounds); not to settle is an error."""
     e = edges.select("src", "dst", F.greatest("w", F.lit(1e-12)).alias("w"))
     e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w"))
     known = materialize(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("d")), "paths")
@@ -150,7 +150,16 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100)
         if now == state:
             return known
         state = now
-    return known
+    raise ValueError(f"shortest paths did not settle in {max_rounds} rounds")
+
+
+def all_shortest_paths(edges: DataFrame, sources: DataFrame, at_once: int = 500, max_rounds: int = 100) -> DataFrame:
+    """shortest_paths() from every source, in blocks of about at_once of them."""
+    edges, blocks, out = materialize(edges.select("src", "dst", "w"), "edges"), -(-sources.count() // at_once), None
+    for i in range(max(blocks, 1)):
+        part = shortest_paths(edges, sources.filter(F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))) == i), max_rounds)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def distortion(vectors: DataFrame, paths: DataFrame) -> DataFrame:
