@@ -171,13 +171,17 @@ def distortion(vectors: DataFrame, paths: DataFrame) -> DataFrame:
     return pairs.agg(F.median(F.try_divide(F.abs(F.col("d") - F.col("e")), "e")).alias("distortion"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """id, label after synchronous rounds: the label with most weight among the neighbours, ties to the smallest."""
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """id, label after synchronous rounds, until no label changes or `rounds` are over: the label with most weight among the neighbours, ties to the smallest."""
     labels = edges.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label"))
     for _ in range(rounds):
         votes = edges.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
         best = votes.groupBy("id").agg(F.min(F.struct(-F.round("w", 9), "label")).alias("b"))
-        labels = materialize(best.select("id", F.col("b.label").alias("label")), "labels")
+        now = materialize(best.select("id", F.col("b.label").alias("label")), "labels")
+        settled = now.join(labels.withColumnRenamed("label", "was"), "id").filter("label <> was").isEmpty()
+        labels = now
+        if settled:
+            break
     return labels
 
 

@@ -215,6 +215,12 @@ def label_propagation(t):
     return G.label_propagation(edges(t), 3)
 
 
+@query()
+def label_propagation_settled(t):
+    """To a fixed point, or 100 rounds; label_propagation stops after the 3 rounds of its SQL."""
+    return G.label_propagation(edges(t))
+
+
 @query()
 def markov_clustering(t):
     """Iterates to a fixed point; tested against a dense computation."""
