@@ -2,13 +2,18 @@
 
 For every prefix of a pre-token the *last* token of that prefix's BPE result is unique.  It is found among
 the vocabulary entries that end at the prefix (reported by a suffix-matching automaton) as the one entry that is
-compatible with the last token of the shorter prefix before it.  Following the stored entries back from the end
-gives the exact ids, in time linear in the matches, with no merge loop.
+compatible with the last token of the shorter prefix before it, and is stored for every prefix, from the shortest up.
+Following the stored entries back from the end gives the exact ids, in time linear in the matches, with no merge loop.
+Every pre-token takes this path, whatever its length.
 
 Two neighbouring tokens are compatible when no merge rule would have joined material across their border.  The
 symbols that touch the border are the right spine of the left token and the left spine of the right token, each alive
 until the rule that consumes it; a rule for two spine symbols that fires while both live breaks the border.
 
+Texts are encoded AT_ONCE bytes at a time: they are split at blanks, each different stretch is encoded once, and the ids are put
+together by position.  Stretches and pre-tokens of up to KEPT characters are kept from one batch to the next in stores of
+two generations, so that what was used lately stays when a store is full.
+
 Defined results: null text is the empty text, which has no ids and decodes to the empty string; whole texts are
 encoded whatever their length; repeated rows are encoded alike; extra columns of the input pass by untouched.
 """
@@ -17,19 +22,45 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from array import array
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 #: Fixed: code point distance that marks the last symbol of a word; above every byte-level code point.
 END = 0xF0000
-#: Stretches and pre-tokens that a codec keeps; more costs memory in every Python worker, less costs time.
-CACHE = 400_000
+#: Entries of a generation of a codec's stores: more costs memory in every Python worker, less costs time.
+CACHE = 300_000
+#: Characters of the longest stretch that is kept; bytes of text that are encoded together.
+KEPT, AT_ONCE = 64, 1 << 23
+
+
+class Recent:
+    """A bounded store: two dicts of at most `size` entries, of which the older one is dropped when the newer one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
 
 
 def byte_alphabet() -> list[str]:
@@ -58,6 +89,7 @@ class BpeCodec:
         self._alphabet, self._plain = byte_alphabet(), regex.compile("[!-~]+").fullmatch
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._special_start = os.path.commonprefix(list(self.special))
         size = max([*model["vocab"].values(), *self.special.values()]) + 1
         self.pieces = np.full(size, "", dtype=object)
         for text, i in [*model["vocab"].items(), *self.special.items()]:
@@ -71,31 +103,18 @@ class BpeCodec:
             parts.setdefault(vocab[a + b], (left, right, rank))
         self._parts = parts
         self._spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self._cache_size = cache_size
-        self._fits: dict[int, bool] = {}
+        self._fits = Recent(4 * cache_size)
         self._lengths = [len(self._symbols(p)) for p in self.pieces]
         self._ids = {}
         for text, i in vocab.items():
             symbols = self._symbols(text)
             if len(symbols) == 1 or i in parts and self._whole(i):
                 self._ids[symbols] = i
-        self.automaton, self._turned = ahocorasick.Automaton(), ahocorasick.Automaton()
-        self._shorter = {}
+        self.automaton = ahocorasick.Automaton()
         for symbols, i in self._ids.items():
             self.automaton.add_word(symbols, (i, len(symbols)))
-            self._turned.add_word(symbols[::-1], i)
         self.automaton.make_automaton()
-        self._ending: dict[str, int] = {}  # for every tail of an entry, the longest entry that ends it
-        for symbols, i in sorted(self._ids.items(), key=lambda x: len(x[0])):
-            longest = -1
-            for k in range(len(symbols) - 1, -1, -1):
-                longest = self._ids.get(tail := symbols[k:], longest)
-                if k:
-                    self._ending[tail] = self._shorter[i] = longest
-            self._ending[symbols] = i
-            self._shorter.setdefault(i, -1)
-        self._cache: dict[str, bytes] = {}
-        self._last: dict[str, int] = {}
+        self._stretches, self._pieces = Recent(cache_size), Recent(cache_size)
 
     def _symbols(self, piece: str) -> str:
         if piece.endswith(self.suffix) and len(piece) > len(self.suffix):
@@ -128,9 +147,7 @@ class BpeCodec:
                         break
                 if not known:
                     break
-            if len(self._fits) > 2 * self._cache_size:
-                self._fits.clear()
-            self._fits[key] = known
+            self._fits.put(key, known)
         return known
 
     def _whole(self, token: int) -> bool:
@@ -143,32 +160,10 @@ class BpeCodec:
                     return False
         return all(self._whole(t) for t in (left, right) if t in self._parts)
 
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token given in the byte-level alphabet: back-pointers followed from its end."""
-        rest = piece[:-1] + chr(ord(piece[-1]) + END)
-        lengths, ids = self._lengths, []
-        if len(rest) > 100:
-            last, at = self._last_of_all(rest), len(rest)
-            while at:
-                ids.append(token := last[at])
-                at -= lengths[token]
-        else:
-            token, known = self._last_of(rest), self._last.get
-            while True:
-                ids.append(token)
-                if not (rest := rest[: -lengths[token]]):
-                    break
-                token = known(rest)
-                if token is None:
-                    token = self._last_of(rest)
-            if len(self._last) > self._cache_size:
-                self._last.clear()
-        ids.reverse()
-        return ids
-
-    def _last_of_all(self, symbols: str) -> list[int]:
-        """The table for every prefix, from the shortest up: what very long pre-tokens take."""
-        last, known = [-1] * (len(symbols) + 1), self._fits.get
+    def last_tokens(self, piece: str) -> list[int]:
+        """The last token of every prefix of a pre-token in the byte-level alphabet, by prefix length (0: none, entry 0)."""
+        symbols = piece[:-1] + chr(ord(piece[-1]) + END)
+        last, known = [-1] * (len(symbols) + 1), self._fits.new.get
         last[0] = 0
         for end, (token, length) in self.automaton.iter(symbols):
             end += 1
@@ -178,59 +173,75 @@ class BpeCodec:
                     last[end] = token
                 elif (before := last[start]) >= 0:
                     fits = known(before << 32 | token)
-                    if self.fits(before, token) if fits is None else fits:
+                    if fits is None:
+                        fits, known = self.fits(before, token), self._fits.new.get
+                    if fits:
                         last[end] = token
         return last
 
-    def _last_of(self, prefix: str) -> int:
-        """The last token of one prefix; those of the shorter prefixes it rests on come from, or go to, a shared store.
-
-        The longest vocabulary entry that ends the prefix comes from the tree of reversed entries; the shorter ones
-        follow by suffix links.
-        """
-        n, lengths, known = len(prefix), self._lengths, self._last.get
-        token = self._ending[prefix[n - self._turned.longest_prefix(prefix[::-1]) :]]
-        while start := n - lengths[token]:
-            before = known(head := prefix[:start])
-            if before is None:
-                before = self._last[head] = self._last_of(head)
-            fits = self._fits.get(before << 32 | token)
-            if self.fits(before, token) if fits is None else fits:
-                break
-            token = self._shorter[token]
-        return token
-
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a stretch without blanks, packed; stretches and pre-tokens are kept in a bounded cache."""
-        out, get = [], self._cache.get
-        for word in self._words(self._normal(chunk)):
-            packed = get(key := word + " ")
+    def encode_piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token given in the byte-level alphabet: back-pointers followed from its end."""
+        last, at, lengths, ids = self.last_tokens(piece), len(piece), self._lengths, []
+        while at:
+            ids.append(token := last[at])
+            at -= lengths[token]
+        ids.reverse()
+        return ids
+
+    def _encode_stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch without blanks, packed."""
+        if stretch in self.special:
+            return self.special[stretch].to_bytes(4, "little")
+        out, store = [], self._pieces
+        for word in self._words(self._normal(stretch)):
+            packed = store.get(word)
             if packed is None:
                 piece = word if self._plain(word) else "".join(map(self._alphabet.__getitem__, word.encode()))
                 packed = array("I", self.encode_piece(piece)).tobytes()
-                if len(word) <= 64:
-                    self._cache[key] = packed
+                if len(word) <= KEPT:
+                    store.put(word, packed)
             out.append(packed)
-        packed = out[0] if len(out) == 1 else b"".join(out)
-        if len(chunk) <= 64:
-            if len(self._cache) >= self._cache_size:
-                self._cache.clear()
-            self._cache[chunk] = packed
-        return packed
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the bounds of each text: blanks always part pre-tokens, and nothing composes across one."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self._special_start and (hit := pc.match_substring(texts, self._special_start)).true_count:
+            put = self._special_at.sub
+            texts = pa.array([put(r" \1 ", t) if h else t for t, h in zip(texts.to_pylist(), hit.to_pylist())], pa.large_string())
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        found = split.flatten().dictionary_encode()
+        stretches = found.dictionary.to_pylist()
+        store, get, packed = self._stretches, self._stretches.get, []
+        for s in stretches:
+            if (p := get(s)) is None:
+                p = self._encode_stretch(s)
+                if len(s) <= KEPT:
+                    store.put(s, p)
+            packed.append(p)
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        start = np.cumsum(size) - size
+        which = found.indices.to_numpy()
+        n = size[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(total[-1]) + np.repeat(start[which] - total[:-1], n)
+        offsets = split.offsets.to_numpy()
+        return ids[at], total[offsets - offsets[0]]
+
+    def encode_batches(self, texts: pa.Array):
+        """(first row, ids, bounds) of groups of rows of about AT_ONCE bytes; a longer text is a group of its own."""
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(texts):
+            most = AT_ONCE + (sizes[first - 1] if first else 0)
+            end = max(first + 1, int(np.searchsorted(sizes, most, side="right")))
+            yield first, *self.encode_column(texts.slice(first, end - first))
+            first = end
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        get, out = self._cache.get, []
-        for part in self._special_at.split(text) if "<|" in text else (text,):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-                continue
-            for chunk in part.replace("\n", " ").split(" "):  # blanks always part pre-tokens, and nothing composes across one
-                packed = get(chunk)
-                out.append(self._chunk(chunk) if packed is None else packed)
-        return b"".join(out)
+        return self.encode_column(pa.array([text], pa.string()))[0].tobytes()
 
     @staticmethod
     def _normal(text: str) -> str:
@@ -241,9 +252,9 @@ class BpeCodec:
                 return "".join(c.lower() for c in text)
         return text.lower()
 
-    def decode(self, packed: bytes) -> str:
-        """Text of packed ids: the file names no decoder, for which the library joins the tokens by one blank."""
-        return " ".join(self.pieces[np.frombuffer(packed, "<u4")])
+    def decode(self, ids: np.ndarray | bytes) -> str:
+        """Text of ids (or of packed ids): the file names no decoder, for which the library joins the tokens by one blank."""
+        return " ".join(self.pieces[np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else ids])
 
 
 @lru_cache(maxsize=4)
@@ -257,19 +268,18 @@ def encode_documents(docs: DataFrame, path: str, with_text: bool = False) -> Dat
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_text
 
     def run(batches):
-        import pyarrow as pa
-
         c = codec(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = c.encode(text.as_py())
-                decoded = c.decode(ids)
-                row = (doc_id, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append(row + ((ids, decoded) if with_text else ()))
+            ids_of, rows = batch.column(0).to_pylist(), []
+            for first, ids, bounds in c.encode_batches(batch.column(1)):
+                for i, doc_id in enumerate(ids_of[first : first + len(bounds) - 1]):
+                    own = ids[bounds[i] : bounds[i + 1]]
+                    packed, decoded = own.tobytes(), c.decode(own)
+                    row = (doc_id, len(own), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    rows.append(row + ((packed, decoded) if with_text else ()))
             columns = list(zip(*rows)) if rows else [()] * (6 if with_text else 4)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names[: len(columns)])
 
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, schema)

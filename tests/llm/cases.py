@@ -33,5 +33,7 @@ def frame(spark, rows, extra: bool = True):
     """documents of the rows; extra columns have names that operators might use inside."""
     if not extra:
         return spark.createDataFrame(rows, "doc_id bigint, text string")
-    more = [(i, t, "en", f"src{(i or 0) % 3}", None if t is None else len(t), 1, "g", 5) for i, t in rows]
-    return spark.createDataFrame(more, "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, k string, size int").repartition(5)
+    names = "__k maybe_repeated __gone __toxic __found __source __words __parts __long __id __h __n __row __key rid u tie block place p word marks key row keep".split()
+    more = [(i, t, "en", f"src{(i or 0) % 3}", None if t is None else len(t), 1, "g", 5, {"a": i or 0}, *["?"] * len(names)) for i, t in rows]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, n int, k string, size int, tags map<string, bigint>, " + ", ".join(f"{c} string" for c in names)
+    return spark.createDataFrame(more, schema).repartition(5)

@@ -117,6 +117,38 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(empty(spark), PATH).count() == 0
 
 
+def test_bpe_tables_and_bounded_stores():
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(PATH), bpe.BpeCodec(PATH, cache_size=50)
+    for piece in ("unbelievably", "abababab", "q", "z" * 300):
+        last = c.last_tokens(piece)
+        assert len(last) == len(piece) + 1
+        whole = t.encode(piece, add_special_tokens=False).ids
+        assert last[-1] == whole[-1] and c.encode_piece(piece) == whole
+        for end in range(1, len(piece)):  # every prefix has its last token, and following them back covers it
+            at = end
+            while at:
+                assert last[at] >= 0
+                at -= c._lengths[last[at]]
+            assert at == 0
+    words = " ".join(f"w{i}x" for i in range(2000)) + " " + "".join(f"{i}，" for i in range(3000))
+    assert np.frombuffer(c.encode(words), "<u4").tolist() == t.encode(words, add_special_tokens=False).ids
+    assert len(c._stretches) <= 100 and len(c._pieces) <= 100 and len(c._fits) <= 400
+
+
+def test_bpe_in_several_groups(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "AT_ONCE", 64)
+    c, rows = bpe.codec(PATH), ["one two", None, "", "x" * 200, "three\nfour <|endoftext|> five", "six"] * 3
+    got = {}
+    for first, ids, bounds in c.encode_batches(pa.array(rows, pa.string()).slice(1)):
+        for i in range(len(bounds) - 1):
+            got[1 + first + i] = ids[bounds[i] : bounds[i + 1]].tobytes()
+    assert got == {i: c.encode(rows[i]) for i in range(1, len(rows))}
+
+
 # 4
 
 
@@ -248,6 +280,8 @@ def test_packing(spark):
     rows = ROWS + [(9, "same"), (9, "same")]
     got = packing.pack_documents(frame(spark, rows), PATH, with_ids=True).collect()
     assert len({r.sequence_id for r in got}) == len(got) and sorted(r.sequence_id for r in got) == list(range(len(got)))
+    in_order = [r.length for r in sorted(got, key=lambda r: r.sequence_id)]
+    assert in_order == sorted(in_order) and all(r.length == 1 << r.bucket for r in got)  # one bucket after the other
     docs = collections.defaultdict(list)
     for r in got:
         assert r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0
