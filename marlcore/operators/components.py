@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import let_workers_import, materialize
+from ..session import discard, let_workers_import, materialize
 from .skew import attach_groups
 
 #: Edges that one task may join at most; larger forests go through the distributed rounds.
@@ -70,7 +70,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
     edges = materialize(edges.mapInArrow(_forest, "a bigint, b bigint"), "edges")
     if (left := edges.count()) <= one_task:
         if left:
-            edges = materialize(edges.coalesce(1).mapInArrow(_forest, "a bigint, b bigint"), "components")
+            whole = materialize(edges.coalesce(1).mapInArrow(_forest, "a bigint, b bigint"), "components")
+            discard(edges)
+            edges = whole
         return _with_roots(edges)
     before = _state(edges)
     for _ in range(max_rounds):
@@ -85,7 +87,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, one_task: int =
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = attach_groups(large, least, "u", "n", large.count())
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = materialize(small, "small-star")
+        before_edges, edges = edges, materialize(small, "small-star")
+        discard(before_edges, large)
         now = _state(edges)
         if now == before:
             break
