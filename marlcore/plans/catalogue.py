@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cluster_queries, graph_queries, omics_queries, rule_queries, table_queries, vector_queries  # noqa: F401  they register their queries
+from . import audit_queries, cluster_queries, file_queries, graph_queries, omics_queries, rule_queries, table_queries, vector_queries, wall_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

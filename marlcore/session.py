@@ -54,6 +54,11 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/marlcore/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all that materialize() wrote in this application; results that still read it must have been written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
@@ -63,7 +68,7 @@ def drop_scratch(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """df written once as Parquet under shared_dir and read back, so that lost executors cost no recomputing."""
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path

@@ -82,13 +82,18 @@ def read_expression(spark: SparkSession, matrix: str, phenotypes: str, sep: str
 
 
 def read_after_lines(spark: SparkSession, path: str, skip: int, sep: str = "\t") -> DataFrame:
-    """A table whose header follows `skip` lines, all columns as text."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).filter((F.col("pos") >= skip) & (F.col("line") != ""))
-    header = lines.orderBy("pos").first()
-    if header is None:
+    """A table in one file whose header follows `skip` lines, all columns as text.
+
+    Lines are read in splits; only the first skip + 1 come to the driver.  They are left out of the table by their place: the
+    file's first block is the first that its partition reads, and numbers of a partition's rows start at its own base.
+    """
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    head = lines.filter("block = 0").select("line").limit(skip + 1).collect()
+    if len(head) <= skip:
         return spark.createDataFrame([], "empty string")
-    names = header["line"].split(sep)
-    cells = lines.filter(F.col("pos") > header["pos"]).select(F.split("line", sep).alias("c"))
+    names = head[skip]["line"].split(sep)
+    rows = lines.filter(f"(block <> 0 or (at & {(1 << 33) - 1}) > {skip}) and line <> ''")
+    cells = rows.select(F.split("line", sep).alias("c"))
     return cells.select(*[F.get("c", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
@@ -106,7 +111,7 @@ def read_new_documents(spark: SparkSession, path: str, known: DataFrame | None =
     """source, chunk_no, chunk of text files whose names the manifest known(source) doesn't have."""
     from ..functions.strings import chunks
 
-    docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("source"), F.col("value").alias("text"))
+    docs = spark.read.text(path, wholetext=True).select(F.url_decode(F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\+", "%2B")).alias("source"), F.col("value").alias("text"))
     if known is not None:
         docs = docs.join(known.select("source"), "source", "left_anti")
     return docs.select("source", F.explode(chunks("text")).alias("c")).select("source", "c.chunk_no", "c.chunk")

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _blobs(n, rng, centres, spread):
-    y = rng.integers(len(centres), size=n)
+    y = np.arange(n) % len(centres)
     return centres[y] + rng.normal(size=(n, centres.shape[1])) * np.asarray(spread)[y, None], y
 
 
+#: Centres and spreads of the three blobs.
 def blobs(n, noise, rng):
     return _blobs(n, rng, np.array([[-4.0, 0], [3, 3], [4, -4]]), [0.9, 1.1, 0.75])
 

@@ -26,6 +26,18 @@ def write_embedding(vectors: DataFrame, path: str) -> None:
     vectors.select("id", "f").write.mode("overwrite").parquet(path)
 
 
+def write_text_file(lines: DataFrame, path: str, order: str) -> None:
+    """The column `line` in order, as one text file of that name: for small files with a header of their own."""
+    spark, folder = lines.sparkSession, f"{path}.parts"
+    lines.orderBy(order).select("line").coalesce(1).write.text(folder)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(Path(folder)) if f.getPath().getName().startswith("part-"))
+    fs.mkdirs(Path(path).getParent())
+    fs.rename(part, Path(path))
+    fs.delete(Path(folder), True)
+
+
 def append_trace(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
