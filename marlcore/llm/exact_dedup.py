@@ -1,29 +1,26 @@
 """Op 2: exact deduplication by two-pass Bloom filtering, in DataFrame functions only.
 
 Pass 1 counts, for each position of a Bloom filter, the rows that set it (partial sums before the shuffle, eight bytes a
-position); positions that two rows set form the filter of possibly repeated hashes.  Its size has a fixed upper bound,
-so it is broadcast.  Pass 2 tests every row against it: rows whose positions are not all marked are unique for certain
-and pass straight through; only the others shuffle, as digests, and are grouped exactly.  A full filter only sends more
-rows to the exact grouping; results never depend on it.
+position); positions that two rows set form the filter of possibly repeated hashes.  It has BITS_A_ROW bits a row, up to a fixed
+bound, so it is broadcast.  Pass 2 tests every row against it: rows whose positions are not all marked are unique for certain
+and pass straight through; only the others shuffle, as digests, and are grouped exactly.  Beyond the bound (about 4 million rows; the
+filter still clears most rows up to some 60 million) it only sends more rows to the exact grouping; results never depend on it.
 
 Defined results: texts are equal when identical after lower-casing A-Z; null text is the empty text; of equal texts the
 row with the largest doc_id stays (a null doc_id is smaller than any; of rows that tie, exactly one stays); empty tables
-give empty results; extra columns, whatever their names, do not matter.
+give empty results; extra columns, whatever their names and kinds, do not matter.
 """
 
 from __future__ import annotations
 
-from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import attach_groups
-from ..session import materialize
-
-#: Bounds of the filter, in bits: at most MAX_BITS / 64 rows of 16 bytes are broadcast.
-MIN_BITS, MAX_BITS, BITS_A_ROW, HASHES = 1 << 12, 1 << 24, 16, 2
+from ..session import discard, materialize
+from .bloom import ask_filter, build_filter, filter_bits
 
 
 def ascii_lower(text: Column) -> Column:
@@ -36,41 +33,22 @@ def digest(text: Column) -> Column:
     return F.sha2(F.encode(ascii_lower(text), "UTF-8"), 256)
 
 
-def _positions(key: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
-
-
-def repeated_filter(rows: DataFrame, key: str, total: int) -> tuple[DataFrame, int]:
-    """Pass 1: the words (64 bits) of the filter of positions that at least two rows set, and the filter's size in bits."""
-    bits = min(MAX_BITS, max(MIN_BITS, 1 << (BITS_A_ROW * max(total, 1) - 1).bit_length()))
-    seen = rows.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at")).groupBy("at").count()
-    words = (
-        seen.filter("count >= 2")
-        .groupBy(F.expr("at div 64").alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("marks"))
-    )
-    return words, bits
-
-
-def mark_possible_repeats(rows: DataFrame, key: str, words: DataFrame, bits: int) -> DataFrame:
-    """Pass 2: rows with a column maybe_repeated, by a broadcast of at most MAX_BITS / 64 words."""
-    words = words.limit(MAX_BITS // 64)
-    hits = []
-    for i, at in enumerate(_positions(F.col(key), bits)):
-        rows = rows.withColumn(f"__at{i}", at).withColumn(f"__word{i}", F.expr(f"__at{i} div 64"))
-        rows = rows.join(F.broadcast(words.select(F.col("word").alias(f"__word{i}"), F.col("marks").alias(f"__marks{i}"))), f"__word{i}", "left")
-        hits.append(F.expr(f"coalesce(shiftright(__marks{i}, cast(__at{i} % 64 as int)) & 1L, 0L) = 1L"))
-    rows = rows.withColumn("maybe_repeated", reduce(lambda a, b: a & b, hits))
-    return rows.drop(*[f"__{x}{i}" for x in ("at", "word", "marks") for i in range(HASHES)])
+def marked_digests(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """Both passes: rows with maybe_repeated, written out, and their number."""
+    rows = materialize(rows, "digests")
+    total = rows.count()
+    bits = filter_bits(total)
+    words = materialize(build_filter(rows, key, bits, least=2), "bloom")
+    asked, hit = ask_filter(rows, F.col(key), words, bits)
+    marked = materialize(asked.select(*rows.columns, hit.alias("maybe_repeated")), "marked")
+    discard(rows, words)
+    return marked, total
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs(doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text")).alias("text_sha256"))
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "digests")
-    total = rows.count()
-    words, bits = repeated_filter(rows, "text_sha256", total)
-    marked = mark_possible_repeats(rows, "text_sha256", materialize(words, "bloom"), bits)
+    marked, total = marked_digests(rows.withColumn("rid", F.monotonically_increasing_id()), "text_sha256")
     maybe = marked.filter("maybe_repeated").drop("maybe_repeated")
     groups = maybe.groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep"))
     out = attach_groups(maybe, materialize(groups, "groups"), "text_sha256", "group_size", total).select(
@@ -87,18 +65,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     Rows that the filter clears keep their place; only rows of possibly repeated texts meet their group.
     """
-    keys = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(F.col("text")).alias("k"))
-    keys = materialize(keys, "digests")
-    words, bits = repeated_filter(keys, "k", keys.count())
-    marked = mark_possible_repeats(docs.withColumn("__k", digest(F.col("text"))), "__k", materialize(words, "bloom"), bits)
-    maybe = marked.filter("maybe_repeated").drop("maybe_repeated")
-    through = marked.filter("not maybe_repeated").drop("maybe_repeated", "__k")
-    best = maybe.groupBy("__k").agg(F.max(F.struct(F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(*docs.columns).alias("h"))).alias("b"))
-    best = materialize(best.select("__k", F.col("b.id").alias("__id"), F.col("b.h").alias("__h")), "kept")
-    # Only the row that stays meets its group here, so that no key is hot on either side.
-    kept = maybe.withColumn("__id", F.col("doc_id").cast("bigint")).withColumn("__h", F.xxhash64(*docs.columns))
-    same = (kept["__k"] == best["__k"]) & kept["__id"].eqNullSafe(best["__id"]) & (kept["__h"] == best["__h"])
-    kept = kept.join(best, same, "left_semi")
-    one = Window.partitionBy("__k").orderBy("__h")
-    kept = kept.withColumn("__n", F.row_number().over(one)).filter("__n = 1")
-    return through.unionByName(kept.select(*docs.columns))
+    keys = docs.select(digest(F.col("text")).alias("k"))
+    total = keys.count()
+    bits = filter_bits(total)
+    words = materialize(build_filter(materialize(keys, "digests"), "k", bits, least=2), "bloom")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("id"), digest(F.col("text")).alias("k"))
+    marked, hit = ask_filter(rows, F.col("k"), words, bits)
+    marked = marked.withColumn("maybe", hit)
+    through = marked.filter("not maybe").select("row.*")
+    # rows of one group that share the doc_id are told apart by all they hold; equal ones by a number
+    maybe = marked.filter("maybe").select("row", "id", "k", F.xxhash64(F.to_json("row")).alias("h"))
+    best = materialize(maybe.groupBy("k").agg(F.max(F.struct("id", "h")).alias("b")).select("k", F.col("b.id").alias("id"), F.col("b.h").alias("h")), "kept")
+    # only the row that stays meets its group here, so that no key is hot on either side
+    same = (maybe["k"] == best["k"]) & maybe["id"].eqNullSafe(best["id"]) & (maybe["h"] == best["h"])
+    one = Window.partitionBy("k").orderBy("h")
+    kept = maybe.join(best, same, "left_semi").withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return through.unionByName(kept.select("row.*"))

@@ -15,8 +15,8 @@ times as many ordinary texts; its bias is set to the share of toxic labels.  Eve
 held-out rows; no id, language, source or label is an input of a score.
 
 Defined results: null or empty text gets the score of a text without evidence; rows without a label are scored alike;
-labels of rows that repeat count once for each document row; with no labelled rows of one class every score is the base
-rate (0 if there is none); an empty table gives an empty result; extra columns do not matter.
+a labelled row that repeats counts once; with no labelled rows of one class every score is the base
+rate (0 if there is none); an empty table gives an empty result; extra columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
+from .bloom import ask_filter, build_filter, filter_bits
 from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
 #: Bounds and constants: toxic texts that the curve is fitted on, stem length in bytes, discount, stretch lengths in words, threshold.
@@ -257,9 +258,22 @@ def copy_keys(texts: list[bytes]) -> list[list[int]]:
     return [lows[i].tolist() if i in some else [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True)] for i, t in enumerate(texts)]
 
 
-def _training_texts(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The labelled texts of docs (uid, doc_id, text, side, keys), and uid, doc_id, side of those that are no near copies of
-    an earlier one of their class: a text counts if it is the first with each of its keys."""
+def _side() -> Column:
+    return (F.when(F.col("toxic") == 1, 0).otherwise(2) + F.floor(F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 / 2"))).cast("int")
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text and h (hash of the text) of the rows of docs that a Bloom filter lets through for the doc_ids of ids, so
+    that few others are shuffled by the join that follows."""
+    bits = filter_bits(ids.count())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, hit = ask_filter(rows, F.col("doc_id"), build_filter(ids, "doc_id", bits), bits)
+    return rows.filter(hit).select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+
+def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, h, side of the labelled rows of docs that are no near copies of an earlier one of their class: a text counts
+    if it is the first with each of its keys.  Only keys are written and joined here, no texts."""
     import pyarrow as pa
 
     def run(batches):
@@ -267,16 +281,22 @@ def _training_texts(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataF
             keys = []
             for _, group in chunks((x.as_py() for x in batch.column(1)), AT_ONCE):
                 keys += copy_keys(group)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h", "keys"])
         release()
 
-    side = (F.when(F.col("toxic") == 1, 0).otherwise(2) + F.floor(F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 / 2"))).cast("int")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "text", side.alias("side"))
-    rows = materialize(rows.mapInArrow(run, "doc_id bigint, text string, side int, keys array<bigint>").withColumn("uid", F.monotonically_increasing_id()), "labelled")
-    me = F.struct("doc_id", F.xxhash64("text").alias("h"), "uid", "side", F.size("keys").alias("n"))
+    keyed = _rows_of(docs, known).mapInArrow(run, "doc_id bigint, h bigint, keys array<bigint>")
+    rows = materialize(keyed.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "h", _side().alias("side"), "keys").withColumn("uid", F.monotonically_increasing_id()), "labelled")
+    me = F.struct("doc_id", "h", "uid", "side", F.size("keys").alias("n"))
     first = rows.select(me.alias("me"), F.floor(F.col("side") / 2).alias("class"), F.explode("keys").alias("key")).groupBy("class", "key").agg(F.min("me").alias("me"))
-    kept = first.groupBy("me").agg(F.count("*").alias("won")).filter("won = me.n").select("me.uid", "me.doc_id", "me.side")
-    return rows, materialize(kept, "kept")
+    kept = materialize(first.groupBy("me").agg(F.count("*").alias("won")).filter("won = me.n").select("me.doc_id", "me.h", "me.side"), "kept")
+    discard(rows)
+    return kept
+
+
+def training_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """text and side of the rows of kept, each once however often it stands in docs."""
+    rows = _rows_of(docs, kept).join(kept.hint("shuffle_hash"), ["doc_id", "h"])
+    return rows.groupBy("doc_id", "h", "side").agg(F.first("text").alias("text")).select("text", "side")
 
 
 def expression_counts(rows: DataFrame) -> DataFrame:
@@ -328,11 +348,13 @@ def collected_counts(counts: DataFrame) -> Counts:
         return (*(k[order] for k in keys), *(np.stack([t.column(x).to_numpy() for x in c], axis=1)[order] for c in columns))
 
     common = lambda kind: counts.filter(f"kind = {kind} and {n} >= {RARE}")
-    return Counts(
+    out = Counts(
         arrays(common(PAIR), ["a", "b"], SIDES), arrays(words.filter(f"{n} >= {RARE}"), ["b", "a"], SIDES, seen),
         arrays(common(STEM_OF).select("b", *SIDES).join(stems, "b"), ["b"], SIDES, seen), arrays(common(CONTEXT), ["b"], SIDES),
         np.array([x or 0 for x in sums[:6]], np.int64), [(sums[6 + 2 * i], sums[7 + 2 * i]) for i in range(3)],
     )
+    discard(words, stems)
+    return out
 
 
 def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[Models | None, float]:
@@ -348,11 +370,13 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
     base = toxic / n if n else 0.0
     if not 0 < toxic < n:
         return None, base
-    rows, kept = _training_texts(docs, known)
+    kept = training_rows(docs, known)
     sizes = dict(kept.groupBy("side").count().collect())
     if not all(sizes.get(c, 0) + sizes.get(c + 1, 0) for c in (0, 2)):
         return None, base
-    counts = collected_counts(materialize(expression_counts(rows.join(kept.select("uid").hint("shuffle_hash"), "uid")), "counts"))
+    counted = materialize(expression_counts(training_texts(docs, kept)), "counts")
+    counts = collected_counts(counted)
+    discard(counted)
     # the model for the held rows of a fold knows the other fold only
     folds = [model_of(counts, (1 - f,)) if sizes.get(1 - f) and sizes.get(3 - f) else None for f in (0, 1)]
     models = model_of(counts, (0, 1))
@@ -370,9 +394,11 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
                         yield pa.RecordBatch.from_arrays([pa.array(y), pa.array(m.features([group[i] for i in at]).tolist())], ["y", "x"])
         release()
 
-    sample = [kept.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id", "uid").limit(k) for c, k in (("side >= 2", ORDINARY * max_rows), ("side < 2", max_rows))]
-    sample = F.broadcast(sample[0].unionByName(sample[1]).select("uid"))  # at most (1 + ORDINARY) * max_rows rows
-    found = sorted((r.y, r.x) for r in rows.join(sample, "uid").select("text", "side").mapInArrow(run, "y int, x array<double>").collect())
+    sample = [kept.filter(c).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(k) for c, k in (("side >= 2", ORDINARY * max_rows), ("side < 2", max_rows))]
+    sample = F.broadcast(sample[0].unionByName(sample[1]))  # at most (1 + ORDINARY) * max_rows rows
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    once = rows.join(sample, ["doc_id", "h"]).groupBy("doc_id", "h", "side").agg(F.first("text").alias("text"))
+    found = sorted((r.y, r.x) for r in once.select("text", "side").mapInArrow(run, "y int, x array<double>").collect())
     shared.destroy()
     y = np.array([r[0] for r in found], np.float64)
     if 0 < y.sum() < len(y):
@@ -384,8 +410,8 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
     return models, base
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs; keep: all columns of docs and __toxic (boolean)."""
+def _scores(docs: DataFrame, labels: DataFrame, max_rows: int):
+    """A function from texts to scores, which carries the trained models to the workers."""
     models, base = trained_models(docs, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
@@ -396,18 +422,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
                 out[first : first + len(group)] = m.score(group)
         return out
 
-    if keep:
-        from pyspark.sql.pandas.functions import pandas_udf
-
-        @pandas_udf("boolean")
-        def toxic(text):
-            import pandas as pd
+    return scores
 
-            out = pd.Series(scores(text.tolist()) >= CUT)
-            release()
-            return out
 
-        return docs.withColumn("__toxic", toxic(F.col("text").cast("string")))
+def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of docs."""
+    scores = _scores(docs, labels, max_rows)
 
     def run(batches):
         import pyarrow as pa
@@ -421,6 +441,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs whose score is below CUT, with all their columns: the pipeline stage."""
-    return score_documents(docs, labels, keep=True).filter("not __toxic").select(*docs.columns)
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    scores = _scores(docs, labels, max_rows)
+
+    @pandas_udf("boolean")
+    def toxic(text):
+        import pandas as pd
+
+        out = pd.Series(scores(text.tolist()) >= CUT)
+        release()
+        return out
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), toxic(F.col("text").cast("string")).alias("toxic"))
+    return rows.filter("not toxic").select("row.*")

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from marlcore.llm import bpe, entries, exact_dedup, html_text, jaccard, packing, secrets, sharding, suffix_dedup, suffixes, topk, toxicity, tree
+from marlcore.llm import bloom, bpe, entries, exact_dedup, html_text, jaccard, packing, secrets, sharding, suffix_dedup, suffixes, topk, toxicity, tree
 
 from .cases import frame, texts
 
@@ -92,8 +92,8 @@ def test_exact_dedup(spark):
 
 def test_full_filter_changes_nothing(spark, monkeypatch):
     want = sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, ROWS)).collect()))
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", 64)
-    monkeypatch.setattr(exact_dedup, "MIN_BITS", 64)
+    monkeypatch.setattr(bloom, "MAX_BITS", 64)
+    monkeypatch.setattr(bloom, "MIN_BITS", 64)
     assert sorted(map(tuple, exact_dedup.exact_dedup(frame(spark, ROWS)).collect())) == want
 
 
@@ -335,8 +335,8 @@ def test_toxicity_counts_all_labelled_rows(spark):
     docs = frame(spark, list(enumerate(texts)))
     kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
     models, _ = toxicity.trained_models(docs, labels, 4)  # the sample of the curve is no bound of the counts
-    rows, texts_kept = toxicity._training_texts(docs, labels.filter(f"doc_id in ({', '.join(map(str, kept))})"))
-    got = {(r.kind, r.a, r.b): r for r in toxicity.expression_counts(rows.join(texts_kept.select("uid"), "uid")).collect()}
+    texts_kept = toxicity.training_rows(docs, labels.filter(f"doc_id in ({', '.join(map(str, kept))})"))
+    got = {(r.kind, r.a, r.b): r for r in toxicity.expression_counts(toxicity.training_texts(docs, texts_kept)).collect()}
     want = collections.Counter()
     alive = {r.doc_id for r in texts_kept.collect()}
     for i in alive:
@@ -354,7 +354,8 @@ def test_toxicity_continuation_counts(spark):
     texts = [f"only fixed{i} san francisco {'abcde'[i % 5]}{i} often" for i in range(40)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
     known = labels.filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
-    rows, _ = toxicity._training_texts(frame(spark, list(enumerate(texts))), known)
+    docs = frame(spark, list(enumerate(texts)) + [(3, texts[3])])  # a row that repeats counts once
+    rows = toxicity.training_texts(docs, toxicity.training_rows(docs, known))
     words, stems = (x.collect() for x in toxicity.lower_orders(toxicity.expression_counts(rows)))
     want, of_stem = collections.defaultdict(set), collections.defaultdict(set)
     for i in (r.doc_id for r in known.collect()):
