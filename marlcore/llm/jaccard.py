@@ -1,10 +1,13 @@
 """Op 5: exact Jaccard self-join of word n-gram sets.
 
+Prospects.  A set that links with a different one shares most of its elements with it, so a set with too few elements that
+occur in another set too has no link (prospects.py).  This is asked of all sets, then among those left; the rest goes on with them.
+
 Candidates.  Two sets of x <= y elements and similarity s differ in at most D = (1 - s) / (1 + s) * (x + y) elements.  Sets are
 banded by size; the elements of a set are dealt by hash into D + 1 (and SPARE more) parts, D for the largest set of the
 band, so that two linked sets have a part in common that is equal as a whole and not empty.  Equal parts are found by
-one shuffle of their hashes, once for each different set of a batch, and give stars of candidates, never pairs.  A set
-near the upper edge of its band counts in the next band too.
+one shuffle of their hashes, once for each different set, and give stars of candidates, never pairs.  A set counts in its own
+band and in each higher one that a set linked with it can be in.
 
 Tiles.  Components of the candidate stars are checked in tiles: small ones are put together, and one that is too large for
 a task is cut by size band and hash, its tiles met in pairs of equal or neighbouring bands.  In a tile, the number of
@@ -14,7 +17,7 @@ as sorted arrays.  Sets that are connected already aren't compared again.  Nothi
 Defined results: a text of fewer words than an n-gram has the whole sequence as one element; null texts and texts without
 words have the empty set, which links with nothing; equal sets are linked; rows that share a doc_id are one document for
 links; a row with a null doc_id takes no part in links and has a null component_id; long texts are read whole; empty tables
-give empty results; extra columns do not matter.
+give empty results; extra columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -25,14 +28,15 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.skew import attach_groups
-from ..session import materialize
+from ..session import discard, materialize
+from .prospects import prospects
 from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
 #: Parts beyond D + 1, so that a set with up to SPARE empty parts needn't tell of them; ratio of the bands' edges; elements of a
 #: tile; words of 64 bits in a bitmap; rows up to which candidates are broadcast to the texts.
 SPARE, RATIO, TILE, BITMAP, BROADCAST_ROWS = 2, 1.5, 2_000_000, 16, 400_000
-#: Sets next in size that are compared first.
-NEXT = 32
+#: Sets next in size that are compared first; times that prospects are asked for again among those left.
+NEXT, ROUNDS = 32, 2
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +84,10 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_edges(largest: int) -> np.ndarray:
+def band_edges(largest: int, percent: int) -> np.ndarray:
+    """First sizes of the bands, up to those that a set linked with one of `largest` elements can be in, and two more."""
     out = [1]
-    while out[-1] <= largest * RATIO:
+    while out[-1] <= largest * 100 / percent:
         out.append(max(out[-1] + 1, int(out[-1] * RATIO)))
     return np.array([*out, int(out[-1] * RATIO) + 1, int(out[-1] * RATIO * RATIO) + 2])
 
@@ -90,18 +95,19 @@ def band_edges(largest: int) -> np.ndarray:
 def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the parts of each set, in each band that it counts in, and the set of each hash."""
     n = np.diff(bounds)
-    edges = band_edges(int(n.max(initial=1)))
+    edges = band_edges(int(n.max(initial=1)), percent)
     band = np.searchsorted(edges, n, side="right") - 1
     owner = np.repeat(np.arange(len(n)), n)
     out_h, out_s = [], []
-    for up in (0, 1):
+    for up in range(len(edges)):
         b = band + up
+        reach = (n > 0) & (b < len(edges) - 1)
+        reach[reach] &= n[reach] * 100 >= percent * edges[b[reach]] if up else True
+        if not reach.any():
+            break
         largest = edges[np.minimum(b + 1, len(edges) - 1)] - 1
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        parts = np.where(n > 0, differ + 1 + SPARE, 0)
-        parts[differ == 0] = 0  # such sets link only if they're equal
-        if up:
-            parts[n * 100 < percent * edges[np.minimum(b, len(edges) - 1)]] = 0
+        parts = np.where(reach & (differ > 0), differ + 1 + SPARE, 0)  # if none may differ, sets link only if they're equal
         base = np.concatenate([[0], np.cumsum(parts)])
         use = parts[owner] > 0
         who, x = owner[use], h[use]
@@ -116,57 +122,49 @@ def signatures(h: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
         sig = mix(total + mix(label * np.uint64(0x9E6C63D0876A9A47) + np.uint64(percent)) + count.astype(np.uint64))
         out_h.append(sig[tell])
         out_s.append(s[tell])
-    return np.concatenate(out_h), np.concatenate(out_s)
+    return np.concatenate([np.zeros(0, np.uint64), *out_h]), np.concatenate([np.zeros(0, np.int64), *out_s])
 
 
 def _describe(size: int, percent: int):
-    """doc_id, n, k (key of the set) and sigs; of equal sets in a batch, only the smallest doc_id tells its parts."""
+    """doc_id and sig, one row for each part that a text tells; of equal sets in a batch, only the smallest doc_id tells its parts."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0)
-            known = ~np.array(ids.is_null())
-            number = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            n, keys, sig, who = [], [], [], []
+            number = batch.column(0).to_numpy()
             for first, group in chunks((x.as_py() for x in batch.column(1)), 1 << 20):
                 h, bounds = shingle_sets(group, size)
-                n.append(np.diff(bounds))
-                keys.append(set_keys(h, bounds))
-                s, w = signatures(h, bounds, percent)
-                sig.append(s)
-                who.append(w + first)
-            if not n:
-                continue
-            n, keys, sig, who = (np.concatenate(x) for x in (n, keys, sig, who))
-            order = np.lexsort((number, ~known, keys[:, 1], keys[:, 0]))
-            k = keys[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
-            tells = np.zeros(len(n), bool)
-            tells[order[new]] = True
-            tells &= known
-            use = tells[who]
-            sig, who = sig[use], who[use]
-            by = np.argsort(who, kind="stable")
-            offsets = pa.array(np.searchsorted(who[by], np.arange(len(n) + 1)), pa.int32())
-            blob = pa.array([x.tobytes() for x in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), blob, pa.ListArray.from_arrays(offsets, pa.array(sig[by].view(np.int64)))], ["doc_id", "n", "k", "sigs"])
+                keys, ids = set_keys(h, bounds), number[first : first + len(group)]
+                order = np.lexsort((ids, keys[:, 1], keys[:, 0]))
+                k = keys[order]
+                tells = np.zeros(len(group), bool)
+                tells[order[np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])]] = True
+                sig, who = signatures(h, bounds, percent)
+                sig, who = sig[tells[who]], who[tells[who]]
+                for low in range(0, len(sig), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[who[low : low + 100_000]]), pa.array(sig[low : low + 100_000].view(np.int64))], ["doc_id", "sig"])
         release()
 
     return run
 
 
 class _Forest:
-    """Union-find over the rows of a tile, with the links that joined something."""
+    """Components of the rows of a tile, with the links that joined something."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
+        self.members = {}
         self.links: list[tuple[int, int]] = []
 
     def join(self, i: int, j: int) -> None:
         a, b = self.label[i], self.label[j]
-        self.label[self.label == b] = a
+        of_a, of_b = self.members.pop(a, [a]), self.members.pop(b, [b])
+        if len(of_a) < len(of_b):
+            a, of_a, of_b = b, of_b, of_a
+        self.label[of_b] = a
+        of_a.extend(of_b)
+        self.members[a] = of_a
         self.links.append((i, j))
 
 
@@ -263,32 +261,49 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large)
 
 
+def _with_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows by doc_id with the texts: a broadcast of a counted table up to BROADCAST_ROWS rows, a sort-merge join beyond."""
+    return docs.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows.hint("merge"), "doc_id")
+
+
+def _candidates(sets: DataFrame) -> DataFrame:
+    """doc_id of one text of each different set that other sets may be linked with."""
+    one = sets.filter("hope").groupBy("k").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    return materialize(one, "prospects")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(docs.mapInArrow(_describe(size, percent), "doc_id bigint, n bigint, k binary, sigs array<bigint>"), "sets")
+    sets = materialize(prospects(docs, size, percent), "sets")
     plain = sets.select("doc_id", "n", "k")
     groups = materialize(plain.filter("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("size")), "set-groups")
-    parts = sets.select("doc_id", F.explode("sigs").alias("sig"))
+    left = _candidates(sets)
+    for _ in range(ROUNDS):
+        again = materialize(prospects(_with_texts(docs, left), size, percent), "sets-left")
+        fewer = _candidates(again)
+        discard(left, again)
+        left = fewer
+    parts = _with_texts(docs, left).select("doc_id", "text").mapInArrow(_describe(size, percent), "doc_id bigint, sig bigint")
     star = F.expr("first(doc_id) over (partition by sig order by doc_id)")
     stars = parts.select(star.alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     near = connected_components(stars).withColumnRenamed("v", "doc_id")
     members = near.join(groups.select(F.col("rep").alias("doc_id"), F.col("size").alias("n")), "doc_id").select("doc_id", "root", "n")
     members = materialize(members, "members")
     tiles = materialize(_tiles(members, percent), "tiles")
-    rows = tiles.count()
-    texts = docs.join(F.broadcast(tiles), "doc_id") if rows <= BROADCAST_ROWS else docs.join(tiles.hint("merge"), "doc_id")
-    links = texts.select("g", "root", "side", "doc_id", "text").groupBy("g").applyInArrow(_check_tile(size, percent), "a bigint, b bigint")
+    links = _with_texts(docs, tiles).select("g", "root", "side", "doc_id", "text").groupBy("g").applyInArrow(_check_tile(size, percent), "a bigint, b bigint")
     found = connected_components(links).select(F.col("v").alias("rep"), "root")
-    named = groups.join(found, "rep", "left").select("k", "copies", F.coalesce("root", "rep").alias("component_id"))
-    counted = plain.withColumn("doc", F.col("doc_id")).filter("n > 0 and doc_id is not null")
-    out = attach_groups(counted, materialize(named, "components"), "k", "copies", counted.count())
+    named = materialize(groups.join(found, "rep", "left").select("k", "copies", F.coalesce("root", "rep").alias("component_id")), "components")
+    discard(left, members, tiles, groups)
+    counted = plain.filter("n > 0 and doc_id is not null")
+    out = attach_groups(counted, named, "k", "copies", counted.count())
     rest = plain.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that have the smallest doc_id of their component, with all their columns: the pipeline stage."""
-    found = materialize(jaccard_components(docs, size, percent).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    found = materialize(jaccard_components(docs, size, percent).filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "dropped")
     gone = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), docs["doc_id"].cast("bigint") == F.col("__gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(gone, F.expr("cast(row.doc_id as bigint)") == gone["id"], "left_anti").select("row.*")

@@ -40,7 +40,7 @@ ORDINARY, MINIMA, AT_ONCE = 3, 8, 1 << 19
 #: Log ratio from which a word counts as evidence.
 STRONG = 1.5
 #: Counted expressions that a task holds before it passes them on.
-MOST_HELD = 1 << 20
+MOST_HELD = 1 << 18
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +197,9 @@ class Counts:
 def model_of(c: Counts, folds: tuple[int, ...]) -> Models:
     """The tables from the texts of the folds."""
     which = folds[0] if len(folds) == 1 else 2
-    of = lambda n: np.stack([n[..., list(folds)].sum(-1), n[..., [2 + f for f in folds]].sum(-1)]).astype(np.float64)
-    lower = lambda n: np.stack([n[..., which], n[..., 3 + which]]).astype(np.float64)
+    kind = lambda n: np.float32 if n.ndim > 1 else np.float64  # noqa: E731  tables are large, totals large numbers
+    of = lambda n: np.stack([sum(n[..., f] for f in folds), sum(n[..., 2 + f] for f in folds)]).astype(kind(n))
+    lower = lambda n: np.stack([n[..., which], n[..., 3 + which]]).astype(kind(n))
     word_texts, stem_texts, context_n, pair_n = of(c.words[2]), of(c.stems[1]), of(c.contexts[1]), of(c.pairs[2])
     word_n, stem_n, known = lower(c.words[3]), lower(c.stems[2]), c.known_stems[which]
     common = lambda n: n[0] + n[1] >= RARE
@@ -342,7 +343,7 @@ def collected_counts(counts: DataFrame) -> Counts:
     sums = stems.agg(*(F.sum(c) for c in seen), *(f for x in both for f in (F.expr(f"count_if({x} > 0)"), F.expr(f"coalesce(min({x}) filter (where {x} > 0), 0)")))).first()
 
     def arrays(table: DataFrame, keys: list[str], *columns: list[str]) -> tuple[np.ndarray, ...]:
-        t = table.toArrow()
+        t = table.select(*keys, *(F.col(x).cast("int") for c in columns for x in c)).toArrow()
         keys = [t.column(k).to_numpy().view(np.uint64) for k in keys]
         order = np.argsort(keys[0], kind="stable")
         return (*(k[order] for k in keys), *(np.stack([t.column(x).to_numpy() for x in c], axis=1)[order] for c in columns))
@@ -381,6 +382,7 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
     folds = [model_of(counts, (1 - f,)) if sizes.get(1 - f) and sizes.get(3 - f) else None for f in (0, 1)]
     models = model_of(counts, (0, 1))
     del counts
+    release()
     shared = docs.sparkSession.sparkContext.broadcast(folds)
 
     def run(batches):
@@ -400,6 +402,8 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
     once = rows.join(sample, ["doc_id", "h"]).groupBy("doc_id", "h", "side").agg(F.first("text").alias("text"))
     found = sorted((r.y, r.x) for r in once.select("text", "side").mapInArrow(run, "y int, x array<double>").collect())
     shared.destroy()
+    del folds
+    release()
     y = np.array([r[0] for r in found], np.float64)
     if 0 < y.sum() < len(y):
         models.weights = fit_logistic(np.array([r[1] for r in found]), y)
