@@ -45,6 +45,8 @@ _TOKEN = re.compile(
 _SKIPPED = re.compile(rf"<(/?)({SKIPPED})(?=[\s/>])({_REST})>", re.I)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: Last parts of a class or id that say nothing of what it names: the part before them does.
+GENERIC = frozenset("list box wrapper wrap container block section area bar links link buttons button item items content inner outer row col column panel group posts articles text zone slot unit".split())
 
 #: Features of a block: words, link density, words and link density before and after, place (0 furniture, 1 plain, 2 content).
 #: Labelled blocks (1: main text), made for this table.
@@ -74,6 +76,17 @@ def train_block_tree() -> tuple:
     return fit_tree(table[:, :-1], table[:, -1], depth=8)
 
 
+def names_furniture(value: str) -> bool:
+    """True if a class or id is called after page furniture: by its last part that says something, as in site-footer or comment-list-3."""
+    for token in value.split():
+        parts = _NAME.findall(token)
+        while len(parts) > 1 and parts[-1] in GENERIC:
+            parts.pop()
+        if parts and parts[-1] in FURNITURE_NAMES and parts[0] not in ("has", "no", "with", "without"):
+            return True
+    return False
+
+
 def _place(tag: str, attrs: str) -> int:
     """0 for page furniture, 2 for content, 1 for all else."""
     if tag in FURNITURE:
@@ -81,7 +94,8 @@ def _place(tag: str, attrs: str) -> int:
     if attrs and tag not in ("body", "html"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(_NAME.findall(value)) or name == "role" and value in FURNITURE_ROLES:
+            # an article or main element is content, whatever it is called
+            if name in ("class", "id") and tag not in CONTENT and names_furniture(value) or name == "role" and value in FURNITURE_ROLES:
                 return 0
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 return 0

@@ -421,6 +421,14 @@ def test_html_text_after_special_elements(middle):
     assert html_text.main_text(f"<article><p>{first}</p>{middle}<p>{last}</p></article>", tree) == f"{first}\n{last}"
 
 
+@pytest.mark.parametrize("open_tag, stays", [("article id='social-history'", True), ("div class='legal-analysis'", True), ("div class='has-sidebar wide'", True), ("article class='comments'", True),
+                                             ("div class='site-footer'", False), ("div id='comment-list-3'", False), ("div class='main cookie-notice'", False), ("div class='related-posts'", False)])
+def test_html_text_names_of_elements(open_tag, stays):
+    text = "This block has quite enough words to look like a part of some article."
+    page = f"<{open_tag}><p>{text}</p><p>{text}</p></{open_tag.split()[0]}>"
+    assert html_text.main_text(page, html_text.train_block_tree()) == (f"{text}\n{text}" if stays else "")
+
+
 def test_html_text_math_and_options():
     tree = html_text.train_block_tree()
     text = html_text.main_text("<article><p>Einstein wrote that <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> holds for all of us.</p><select><option>no<option>no2</select>"
