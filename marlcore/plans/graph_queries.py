@@ -57,7 +57,7 @@ def selftuning_edges(t):
     return N.self_tuning(N.mutual(knn), N.bandwidths(knn)).select("src", "dst", r("w").alias("w"))
 
 
-ADAPTIVE = knn_sql(15).replace(" k AS", " k15 AS") + ", mn AS (SELECT src AS id, avg(w) AS m FROM k15 GROUP BY src), ak AS (SELECT id, CAST(floor(5 + (m - lo) / (hi - lo) * 45) AS INTEGER) AS k FROM mn, (SELECT min(m) AS lo, max(m) AS hi FROM mn))"
+ADAPTIVE = knn_sql(15).replace(" k AS", " k15 AS") + ", mn AS (SELECT src AS id, avg(w) AS m FROM k15 GROUP BY src), ak AS MATERIALIZED (SELECT id, CAST(floor(5 + (m - lo) / (hi - lo) * 45) AS INTEGER) AS k FROM mn, (SELECT min(m) AS lo, max(m) AS hi FROM mn))"
 
 
 @query(f"WITH {ADAPTIVE} SELECT id, k FROM ak")
@@ -66,7 +66,7 @@ def adaptive_k(t):
 
 
 @query(
-    f"""WITH {ADAPTIVE}, r50 AS (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS rn FROM d), o AS (SELECT r50.src, r50.dst, 1 / greatest(w, 1e-8) AS w FROM r50 JOIN ak ON ak.id = r50.src AND rn <= k)
+    f"""WITH {ADAPTIVE}, r50 AS MATERIALIZED (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w, dst) AS rn FROM d), o AS MATERIALIZED (SELECT r50.src, r50.dst, 1 / greatest(w, 1e-8) AS w FROM r50 JOIN ak ON ak.id = r50.src AND rn <= k)
     SELECT a.src, a.dst, round(least(a.w, b.w), 6) AS w FROM o a JOIN o b ON a.src = b.dst AND a.dst = b.src"""
 )
 def adaptive_neighbourhood(t):
