@@ -32,8 +32,13 @@ def latex_escape(c: Column) -> Column:
     return F.replace(c, F.lit(MARK), F.lit(r"\textbackslash{}"))
 
 
+#: What a report's text keeps, beside letters, numbers, punctuation and blanks of any script.
+PRINTABLE = r"\x00-\x7E\x{80}-\x{FF}\x{2000}-\x{206F}\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}"
+
+
 def strip_emoji(c: Column) -> Column:
-    return F.regexp_replace(c, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}]", "")
+    """Text without emoji and other symbols."""
+    return F.regexp_replace(c, rf"[^{PRINTABLE}\p{{L}}\p{{N}}\p{{P}}\p{{Z}}]", "")
 
 
 def format_optional(c: Column, digits: int = 3) -> Column:

@@ -20,17 +20,18 @@ def signatures(runs: DataFrame) -> DataFrame:
     return own.groupBy("s").agg(F.count("*").alias("members"), F.min("id").alias("first"))
 
 
-def coassociation(runs: DataFrame) -> DataFrame:
-    """a, b (smallest id of each group of interchangeable rows), members of both, and the share of runs that put them together.
+def coassociation(runs: DataFrame, weighted: bool = False) -> DataFrame:
+    """a, b (smallest id of each group of interchangeable rows), members of both, and the share of runs (weighted: of their scores) that put them together.
 
     Groups of at least one common label are joined on it, so no pair without agreement is ever made.
     """
     groups = signatures(runs)
-    total = runs.select("algorithm").distinct().count()
+    weights = runs.groupBy("algorithm").agg(F.max("score").alias("weight") if weighted else F.lit(1.0).alias("weight"))  # one row an algorithm
+    total = weights.agg(F.sum("weight")).first()[0] or 1.0
     long = groups.select("first", "members", F.explode("s").alias("x")).select("first", "members", "x.algorithm", "x.label")
     other = long.select(F.col("first").alias("b"), F.col("members").alias("nb"), "algorithm", "label")
     pairs = long.select(F.col("first").alias("a"), F.col("members").alias("na"), "algorithm", "label").join(other, ["algorithm", "label"]).filter("a <= b")
-    return pairs.groupBy("a", "b", "na", "nb").agg((F.count("*") / total).alias("share"))
+    return pairs.join(F.broadcast(weights), "algorithm").groupBy("a", "b", "na", "nb").agg((F.sum("weight") / total).alias("share"))
 
 
 def agreement_entropy(runs: DataFrame) -> DataFrame:

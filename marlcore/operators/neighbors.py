@@ -53,16 +53,25 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cosine_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 - cosine; a zero vector is at distance 1 from all."""
+    one = lambda v: v / np.where((n := np.linalg.norm(v, axis=1, keepdims=True)) > 0, n, 1.0)
+    return 1.0 - one(x) @ one(y).T
+
+
+METRICS = {"euclidean": _distances, "cosine": _cosine_distances}
+
+
 def default_k(n: int) -> int:
     return min(30, max(5, int(n**0.5)))
 
 
-def knn_join(vectors: DataFrame, k: int | None = None) -> DataFrame:
+def knn_join(vectors: DataFrame, k: int | None = None, metric: str = "euclidean") -> DataFrame:
     """src, dst, w, rn: the k nearest other rows of each row, ties to the smaller id."""
-    k = k or default_k(vectors.count())
+    k, between = k or default_k(vectors.count()), METRICS[metric]
 
     def work(a, b):
-        d = _distances(a[1], b[1])
+        d = between(a[1], b[1])
         d[a[0][:, None] == b[0][None, :]] = np.inf
         src, dst, w = [], [], []
         for i, row in enumerate(d):
@@ -78,8 +87,14 @@ def knn_join(vectors: DataFrame, k: int | None = None) -> DataFrame:
     return near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k)
 
 
-def radius_join(vectors: DataFrame, radius: float) -> DataFrame:
-    """src, dst, w of all pairs of different rows with distance <= radius, both directions."""
+def mean_neighbour_distance(knn: DataFrame) -> float:
+    """The default radius of a graph: the mean distance over all neighbour pairs; 0 without any."""
+    return knn.agg(F.coalesce(F.avg("w"), F.lit(0.0))).first()[0]
+
+
+def radius_join(vectors: DataFrame, radius: float | None = None) -> DataFrame:
+    """src, dst, w of all pairs of different rows with distance <= radius (if none is given, the mean distance to the nearest neighbours), both directions."""
+    radius = mean_neighbour_distance(knn_join(vectors)) if radius is None else radius
 
     def work(a, b):
         d = _distances(a[1], b[1])
@@ -89,11 +104,12 @@ def radius_join(vectors: DataFrame, radius: float) -> DataFrame:
     return _block_pairs(vectors, work, "src bigint, dst bigint, w double", [])
 
 
-def pair_sums(vectors: DataFrame, label: str = "y") -> DataFrame:
+def pair_sums(vectors: DataFrame, label: str = "y", metric: str = "euclidean") -> DataFrame:
     """id, label, other, s, n: for each row and each cluster, the sum of distances to its members, and their number."""
+    between = METRICS[metric]
 
     def work(a, b):
-        d = _distances(a[1], b[1])
+        d = between(a[1], b[1])
         kinds, at = np.unique(b[2], return_inverse=True)
         hot = np.zeros((len(kinds), len(at)))
         hot[at, np.arange(len(at))] = 1

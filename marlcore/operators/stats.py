@@ -89,12 +89,24 @@ def chi2_sf(x: float, df: int) -> float:
     return front * h
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p", by: str | None = None) -> DataFrame:
-    """tests with q, capped at 1: the running least of p * n / rank from the largest p down."""
-    w = Window.partitionBy(by if by else F.lit(0))
-    ranked = tests.withColumn("__r", F.row_number().over(w.orderBy(p))).withColumn("__n", F.count("*").over(w))
-    q = F.min(F.col(p) * F.col("__n") / F.col("__r")).over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("q", F.least(F.lit(1.0), q)).drop("__r", "__n")
+def benjamini_hochberg(tests: DataFrame, p: str = "p", by: str | None = None, block: int = 100_000) -> DataFrame:
+    """tests with q, capped at 1: the running least of p * n / rank from the largest p down.
+
+    Without groups, ranks come from range partitions, and the running least from blocks of ranks and the least of later blocks.
+    """
+    if by:
+        w = Window.partitionBy(by)
+        ranked = tests.withColumn("__r", F.row_number().over(w.orderBy(p))).withColumn("__n", F.count("*").over(w))
+        q = F.min(F.col(p) * F.col("__n") / F.col("__r")).over(w.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0))
+        return ranked.withColumn("q", F.least(F.lit(1.0), q)).drop("__r", "__n")
+    from .audit import with_row_numbers
+
+    n = tests.agg(F.count("*").alias("__n"))
+    ranked = with_row_numbers(tests, [F.asc(p)]).crossJoin(F.broadcast(n)).withColumn("__v", F.col(p) * F.col("__n") / F.col("place")).withColumn("__block", F.expr(f"place div {block}"))
+    later = Window.orderBy(F.desc("__block")).rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    least = ranked.groupBy("__block").agg(F.min("__v").alias("m")).select("__block", F.coalesce(F.min("m").over(later), F.lit(1.0)).alias("__later"))
+    within = F.min("__v").over(Window.partitionBy("__block").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.join(F.broadcast(least), "__block").withColumn("q", F.least(F.lit(1.0), within, F.col("__later"))).drop("place", "__n", "__v", "__block", "__later")
 
 
 def permutation_test(real: DataFrame, null: DataFrame, by: list[str]) -> DataFrame:

@@ -30,6 +30,17 @@ def knn_edges(t):
     return N.knn_join(t.vectors, K).select("src", "dst", r("w").alias("w"), "rn")
 
 
+@query(f"WITH {KNN.replace('list_distance(a.f, b.f)', '1 - list_cosine_similarity(a.f, b.f)')} SELECT src, dst, round(w, 6) AS w, CAST(rn AS INTEGER) AS rn FROM k")
+def knn_cosine(t):
+    return N.knn_join(t.vectors, K, "cosine").select("src", "dst", r("w").alias("w"), "rn")
+
+
+@query(f"WITH {knn_sql(30)}, kk AS (SELECT greatest(5, least(30, CAST(floor(sqrt(count(*))) AS INTEGER))) AS k FROM e), m AS (SELECT avg(w) AS radius FROM k, kk WHERE rn <= kk.k) SELECT src, dst, round(w, 6) AS w FROM d, m WHERE w <= radius")
+def radius_default(t):
+    """Pairs within the mean distance to the nearest neighbours."""
+    return N.radius_join(t.vectors).select("src", "dst", r("w").alias("w"))
+
+
 @query(f"WITH {MUTUAL} SELECT src, dst, round(w, 6) AS w FROM mu")
 def mutual_knn(t):
     return N.mutual(N.knn_join(t.vectors, K)).select("src", "dst", r("w").alias("w"))

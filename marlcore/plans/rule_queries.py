@@ -29,6 +29,15 @@ def coassociation(t):
     return C.coassociation(runs(t)).select("a", "b", "na", "nb", r("share").alias("share"))
 
 
+@query(
+    f"""WITH {RUNS_SQL}, s AS (SELECT id, list(algorithm || ':' || label ORDER BY algorithm) AS s FROM runs GROUP BY id), g AS (SELECT s, count(*) AS members, min(id) AS first FROM s GROUP BY s),
+    x AS (SELECT first, members, unnest(s) AS x FROM g), w AS (SELECT algorithm, max(score) AS w FROM runs GROUP BY algorithm)
+    SELECT p.first AS a, q.first AS b, p.members AS na, q.members AS nb, round(sum(w.w) / (SELECT sum(w) FROM w), 6) AS share FROM x p JOIN x q ON p.x = q.x AND p.first <= q.first JOIN w ON w.algorithm = split_part(p.x, ':', 1) GROUP BY ALL"""
+)
+def weighted_coassociation(t):
+    return C.coassociation(runs(t), weighted=True).select("a", "b", "na", "nb", r("share").alias("share"))
+
+
 @query(
     f"""WITH {RUNS_SQL}, pr AS (SELECT x.id AS i, y.id AS j, count(*) FILTER (x.label = y.label) / 3 AS s FROM runs x JOIN runs y ON x.algorithm = y.algorithm AND x.id <> y.id GROUP BY ALL),
     m AS (SELECT avg(1 - 2.0 * 3 * s * (1 - s) / 2) AS agreement FROM pr), ag AS (SELECT agreement, greatest(0.01, least(0.99, agreement)) AS p FROM m)

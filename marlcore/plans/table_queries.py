@@ -67,9 +67,9 @@ def latex_escape(t):
     return t.documents.select("doc_id", F.md5(F.encode(X.latex_escape(F.coalesce("text", F.lit(" "))), "UTF-8")).alias("digest"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text || ' ok ' || chr(128512) || chr(9731) || '!', '[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}\\x{200D}]', '', 'g')) AS digest FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text || ' ok ' || chr(128512) || chr(9731) || chr(8804) || chr(8594) || chr(8212) || chr(127) || chr(20013) || '!', '[^\\x00-\\x7E\\x{80}-\\x{FF}\\x{2000}-\\x{206F}\\x{3000}-\\x{303F}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{FF00}-\\x{FFEF}\\p{L}\\p{N}\\p{P}\\p{Z}]', '', 'g')) AS digest FROM documents")
 def emoji_strip(t):
-    return t.documents.select("doc_id", F.md5(F.encode(X.strip_emoji(F.concat("text", F.lit(" ok \U0001f600☃!"))), "UTF-8")).alias("digest"))
+    return t.documents.select("doc_id", F.md5(F.encode(X.strip_emoji(F.concat("text", F.lit(" ok \U0001f600☃≤→—\x7f中!"))), "UTF-8")).alias("digest"))
 
 
 @query("SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE printf('%.3f', c_acctbal) END AS s FROM customer")

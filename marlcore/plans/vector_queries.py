@@ -84,6 +84,17 @@ def silhouette_exact(t):
     return s.groupBy(F.col("label").cast("int").alias("label")).agg(r(F.avg("s")).alias("silhouette"), F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH {PAIRS.replace("list_distance(a.f, b.f)", "1 - list_cosine_similarity(a.f, b.f)")}, s AS (SELECT src, y1, y2, avg(w) AS m, count(*) AS n FROM d GROUP BY ALL),
+    z AS (SELECT y AS y1, count(*) AS size FROM e GROUP BY y),
+    p AS (SELECT src, y1, max(m) FILTER (y1 = y2) AS a, min(m) FILTER (y1 <> y2) AS b FROM s GROUP BY ALL)
+    SELECT y1 AS label, round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + 0.0 AS silhouette, count(*) AS n FROM p JOIN z USING (y1) GROUP BY y1"""
+)
+def silhouette_cosine(t):
+    s = metrics.silhouette_samples(t.vectors, metric="cosine")
+    return s.groupBy(F.col("label").cast("int").alias("label")).agg(r(F.avg("s")).alias("silhouette"), F.count("*").alias("n"))
+
+
 @query(
     f"""WITH {LONG}, g AS (SELECT dim, avg(v) AS m FROM l GROUP BY dim), c AS (SELECT y, dim, avg(v) AS c, count(*) AS n, var_pop(v) * count(*) AS w FROM l GROUP BY ALL),
     s AS (SELECT sum(n * (c - m) * (c - m)) AS b, sum(w) AS w, count(DISTINCT y) AS k FROM c JOIN g USING (dim))
