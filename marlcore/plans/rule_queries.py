@@ -74,7 +74,7 @@ def consensus_matrix(t):
 @query(f"WITH {RESAMPLE_SQL} SELECT CAST(x.y AS BIGINT) AS label, round(avg(consensus), 6) AS certificate FROM co JOIN e x ON x.id = i JOIN e z ON z.id = j AND z.y = x.y GROUP BY x.y")
 def cluster_certificates(t):
     labels = t.vectors.select("id", F.col("y").cast("bigint").alias("label"))
-    return S.cluster_certificates(S.resample_consensus(resampled(t)), labels).select("label", r("certificate").alias("certificate"))
+    return S.resampled_certificates(resampled(t), labels).select("label", r("certificate").alias("certificate"))
 
 
 #: Scores of made-up algorithms, one a type of part.
