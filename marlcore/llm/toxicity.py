@@ -39,8 +39,8 @@ MAX_ROWS, STEM, DISCOUNT, RARE, STRETCHES, CUT = 1536, 7, 0.75, 5, (1, 4, 16), 0
 ORDINARY, MINIMA, AT_ONCE = 3, 8, 1 << 19
 #: Log ratio from which a word counts as evidence.
 STRONG = 1.5
-#: Counted expressions that a task holds before it passes them on.
-MOST_HELD = 1 << 18
+#: Counted expressions that a task takes in before it passes on the rare ones, and frequent ones that it goes on holding at most.
+MOST_HELD, MOST_KEPT = 1 << 18, 1 << 17
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def tally(texts: list[bytes], side: np.ndarray) -> tuple[np.ndarray, ...]:
         h = pair_hash(a, b)
         new = np.unique(mix(text.astype(np.uint64) * np.uint64(5) + h), return_index=True)[1]  # once for each text
         _, at, which = np.unique(h[new], return_index=True, return_inverse=True)
-        n = np.bincount(which * 4 + side[text[new]], minlength=4 * len(at)).reshape(-1, 4)
+        n = np.bincount(which * 4 + side[text[new]], minlength=4 * len(at)).reshape(-1, 4).astype(np.int32)
         out.append((np.full(len(at), kind, np.int8), a[new][at], b[new][at], n))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -177,7 +177,18 @@ def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """One row for each kind, a, b with the sums of the counts."""
     kind, a, b, n = (np.concatenate(x) for x in zip(*parts))
     _, at, which = np.unique(mix(pair_hash(a, b) + kind.astype(np.uint64)), return_index=True, return_inverse=True)
-    return kind[at], a[at], b[at], np.stack([np.bincount(which, n[:, j], len(at)) for j in range(4)], axis=1).astype(np.int64)
+    return kind[at], a[at], b[at], np.stack([np.bincount(which, n[:, j], len(at)).astype(np.int32) for j in range(4)], axis=1)
+
+
+def parted(parts: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The merged parts: up to `most` expressions of several texts, the most frequent ones, and the rest."""
+    whole = merged(parts)
+    n = whole[3].sum(axis=1)
+    keep = n > 1
+    if keep.sum() > most:
+        keep = np.zeros(len(n), bool)
+        keep[np.argpartition(-n, most)[:most]] = True
+    return tuple(x[keep] for x in whole), tuple(x[~keep] for x in whole)
 
 
 @dataclass
@@ -304,9 +315,8 @@ def expression_counts(rows: DataFrame) -> DataFrame:
     """kind, a, b and SIDES of every expression in rows(text, side): numbers of distinct texts, over all rows."""
     import pyarrow as pa
 
-    def batch_of(parts):
-        kind, a, b, n = merged(parts)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(n[:, j]) for j in range(4))], ["kind", "a", "b", *SIDES])
+    def batch_of(kind, a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(n[:, j], pa.int64()) for j in range(4))], ["kind", "a", "b", *SIDES])
 
     def run(batches):
         parts, held = [], 0
@@ -316,10 +326,11 @@ def expression_counts(rows: DataFrame) -> DataFrame:
                 parts.append(tally(group, sides[first : first + len(group)]))
                 held += len(parts[-1][0])
                 if held > MOST_HELD:
-                    yield batch_of(parts)
-                    parts, held = [], 0
+                    kept, rest = parted(parts, MOST_KEPT)
+                    yield batch_of(*rest)
+                    parts, held = [kept], 0
         if parts:
-            yield batch_of(parts)
+            yield batch_of(*merged(parts))
         release()
 
     found = rows.select("text", "side").mapInArrow(run, "kind tinyint, a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in SIDES))

@@ -391,6 +391,28 @@ def test_toxicity_continuation_counts(spark):
     assert by[francisco].n0 + by[francisco].n1 == by[often].n0 + by[often].n1
 
 
+def test_toxicity_frequent_expressions_are_held(spark, monkeypatch):
+    """A task passes a frequent expression on once, not each time that it has taken in much; the counts are the same."""
+    import inspect
+
+    texts = [f"often seen words a{i} b{i} c{i}" for i in range(300)]
+    rows = spark.createDataFrame([(t, i % 4) for i, t in enumerate(texts)], "text string, side int").coalesce(1)
+    whole = sorted(map(tuple, toxicity.expression_counts(rows).collect()))
+    assert "MOST_KEPT" in inspect.getsource(toxicity.expression_counts)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 100)
+    monkeypatch.setattr(toxicity, "MOST_HELD", 50)
+    monkeypatch.setattr(toxicity, "MOST_KEPT", 20)
+    assert sorted(map(tuple, toxicity.expression_counts(rows).collect())) == whole
+    parts, out = [], []
+    for i in range(0, 300, 10):
+        kept, rest = toxicity.parted(parts + [toxicity.tally([t.encode() for t in texts[i : i + 10]], np.zeros(10, int))], 20)
+        parts, out = [kept], out + [rest]
+    words = toxicity.words_of([b"often seen words"])[0]
+    assert not any(np.isin(p[2], words).any() for p in out[1:]) and 0 < len(parts[0][0]) <= 20
+    n = toxicity.merged(parts + out)
+    assert n[3][(n[0] == toxicity.WORD) & (n[2] == words[0])].sum() == 300
+
+
 def test_toxicity_table_keeps_every_key():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8)  # all clash in their low bits
     keys = np.unique(np.concatenate([keys, np.zeros(1, np.uint64)]))
