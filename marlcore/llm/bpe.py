@@ -193,11 +193,11 @@ class BpeCodec:
         if stretch in self.special:
             return self.special[stretch].to_bytes(4, "little")
         out, store = [], self._pieces
-        for word in self._words(self._normal(stretch)):
-            packed = store.get(word)
-            if packed is None:
-                piece = word if self._plain(word) else "".join(map(self._alphabet.__getitem__, word.encode()))
-                packed = array("I", self.encode_piece(piece)).tobytes()
+        for word in self._words(stretch.lower() if stretch.isascii() else self._normal(stretch)):
+            if (packed := store.new.get(word)) is None:  # as store.get(), without its calls
+                if (packed := store.old.get(word)) is None:
+                    piece = word if self._plain(word) else "".join(map(self._alphabet.__getitem__, word.encode()))
+                    packed = array("I", self.encode_piece(piece)).tobytes()
                 if len(word) <= KEPT:
                     store.put(word, packed)
             out.append(packed)
@@ -211,11 +211,12 @@ class BpeCodec:
             texts = pa.array([put(r" \1 ", t) if h else t for t, h in zip(texts.to_pylist(), hit.to_pylist())], pa.large_string())
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         found = split.flatten().dictionary_encode()
-        stretches = found.dictionary.to_pylist()
-        store, get, packed = self._stretches, self._stretches.get, []
+        stretches = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        store, packed = self._stretches, []
         for s in stretches:
-            if (p := get(s)) is None:
-                p = self._encode_stretch(s)
+            if (p := store.new.get(s)) is None:
+                if (p := store.old.get(s)) is None:
+                    p = self._encode_stretch(s)
                 if len(s) <= KEPT:
                     store.put(s, p)
             packed.append(p)
