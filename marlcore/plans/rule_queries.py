@@ -68,7 +68,7 @@ def resampled(t):
 
 @query(f"WITH {RESAMPLE_SQL} SELECT i, j, round(consensus, 6) AS consensus FROM co")
 def consensus_matrix(t):
-    return S.resample_consensus(resampled(t)).select("i", "j", r("consensus").alias("consensus"))
+    return S.resample_consensus(resampled(t), 6)
 
 
 @query(f"WITH {RESAMPLE_SQL} SELECT CAST(x.y AS BIGINT) AS label, round(avg(consensus), 6) AS certificate FROM co JOIN e x ON x.id = i JOIN e z ON z.id = j AND z.y = x.y GROUP BY x.y")
