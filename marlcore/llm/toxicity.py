@@ -8,7 +8,8 @@ pooled ones, alike in both classes.  A text's words have
 the log ratio of the two likelihoods; the length-normalised ratio of the whole text and of its most toxic stretches
 give the score through a logistic curve, fitted on rows that the models it uses have not seen (two folds).
 
-The counts are group-bys over all labelled rows that are not held out; the models grow with the expressions of RARE texts or more.
+The counts are sums over all labelled rows that are not held out; the models grow with the expressions of RARE texts or more.
+Counts travel packed, as messages from tasks to buckets of words, not as rows.
 Near copies among the rows (one of MINIMA minimum hashes of three-word shingles in common) count once, so that a family of copies
 is no evidence by its size.  Only the logistic curve is fitted on a bounded sample by a hash of doc_id, MAX_ROWS toxic and ORDINARY
 times as many ordinary texts; its bias is set to the share of toxic labels.  Every text is scored whole.  doc_id decides the
@@ -23,14 +24,18 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import discard, materialize, shuffle_partitions
 from .bloom import ask_filter, build_filter, filter_bits
+from .planes import pack, steps, summed, unpack
+from .suffix_dedup import even_keys
 from .words import LOWER, chunks, joined, mix, prefix_hash, release, span_hash, word_spans
 
 #: Bounds and constants: toxic texts that the curve is fitted on, stem length in bytes, discount, stretch lengths in words, threshold.
@@ -41,6 +46,8 @@ ORDINARY, MINIMA, AT_ONCE = 3, 8, 1 << 19
 STRONG = 1.5
 #: Counted expressions that a task takes in before it passes on the rare ones, and frequent ones that it goes on holding at most.
 MOST_HELD, MOST_KEPT = 1 << 18, 1 << 17
+#: Bits of an expression's hash by which a bucket of many expressions is summed in several passes; expressions told that a pass aims at.
+CELL_BITS, MOST_SUMMED = 3, 1 << 20
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -177,6 +184,8 @@ def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """One row for each kind, a, b with the sums of the counts."""
     kind, a, b, n = (np.concatenate(x) for x in zip(*parts))
     _, at, which = np.unique(mix(pair_hash(a, b) + kind.astype(np.uint64)), return_index=True, return_inverse=True)
+    if any((x[at][which] != x).any() for x in (kind, a, b)):  # hashes clash
+        _, at, which = np.unique(np.rec.fromarrays([kind, a, b]), return_index=True, return_inverse=True)
     return kind[at], a[at], b[at], np.stack([np.bincount(which, n[:, j], len(at)).astype(np.int32) for j in range(4)], axis=1)
 
 
@@ -191,6 +200,50 @@ def parted(parts: list[tuple[np.ndarray, ...]], most: int) -> tuple[tuple[np.nda
     return tuple(x[keep] for x in whole), tuple(x[~keep] for x in whole)
 
 
+def messages(part: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Bucket, number of expressions, hashes and counts of the messages that tell buckets the counts of a part.
+
+    An expression goes to the bucket of its b, so that a message names a word once for all words before it; from 64
+    buckets on each b has several, by a, so that a very frequent word fills none.
+    """
+    kind, a, b, n = part
+    bucket = mix(b + mix(a) % np.uint64(max(1, buckets // 32))) % np.uint64(buckets)
+    cell, wide = mix(pair_hash(a, b)) >> np.uint64(64 - CELL_BITS), max(1, (buckets - 1).bit_length())
+    order = np.argsort(bucket << np.uint64(64 - wide) | cell << np.uint64(64 - wide - CELL_BITS) | b >> np.uint64(wide + CELL_BITS))
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        here = order[at[k] : at[k + 1]]
+        names, which = np.unique(np.concatenate([a[here], b[here]]), return_inverse=True)
+        which = which.astype(np.uint32)
+        yield k, len(here), pack(steps(names)), pack(kind[here], cell[here].astype(np.uint8), which[: len(here)], which[len(here) :], *n[here].T)
+
+
+def _batch_of(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(n[:, j], pa.int64()) for j in range(4))], ["kind", "a", "b", *SIDES])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """kind, a, b and SIDES of the expressions of a bucket, from its messages, which stay packed; a large bucket is summed cell by cell."""
+    told, size = [], 0
+    for batch in batches:
+        told += zip(batch.column("names").to_pylist(), batch.column("counts").to_pylist())
+        size += sum(batch.column("n").to_pylist())
+    passes = 1 << min(CELL_BITS, (size // MOST_SUMMED).bit_length())
+    for i in range(passes):
+        parts = []
+        for names, counts in told:
+            names = summed(unpack(names, np.uint64)[0])
+            kind, cell, a, b, *n = unpack(counts, np.int8, np.uint8, np.uint32, np.uint32, *[np.int32] * 4)
+            here = cell % passes == i
+            parts.append((kind[here], names[a[here]], names[b[here]], np.stack([x[here] for x in n], axis=1)))
+        kind, a, b, n = merged(parts)
+        order = np.argsort(b)  # like ones side by side take fewer bytes
+        for at in range(0, len(order), 1 << 16):
+            some = order[at : at + (1 << 16)]
+            yield _batch_of(kind[some], a[some], b[some], n[some])
+    release()
+
+
 @dataclass
 class Counts:
     """What the labelled texts give.  Of the expressions of RARE texts or more: keys, numbers of texts (a column for each of
@@ -286,8 +339,6 @@ def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, h, side of the labelled rows of docs that are no near copies of an earlier one of their class: a text counts
     if it is the first with each of its keys.  Only keys are written and joined here, no texts."""
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             keys = []
@@ -313,10 +364,12 @@ def training_texts(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def expression_counts(rows: DataFrame) -> DataFrame:
     """kind, a, b and SIDES of every expression in rows(text, side): numbers of distinct texts, over all rows."""
-    import pyarrow as pa
+    keys = even_keys(rows.sparkSession, shuffle_partitions(rows.sparkSession))
 
-    def batch_of(kind, a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *(pa.array(n[:, j], pa.int64()) for j in range(4))], ["kind", "a", "b", *SIDES])
+    def told(part):
+        found = list(zip(*messages(part, len(keys))))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([keys[k] for k in found[0]], pa.int32()), pa.array(found[1], pa.int32()), pa.array(found[2], pa.binary()), pa.array(found[3], pa.binary())], ["bucket", "n", "names", "counts"])
 
     def run(batches):
         parts, held = [], 0
@@ -327,14 +380,14 @@ def expression_counts(rows: DataFrame) -> DataFrame:
                 held += len(parts[-1][0])
                 if held > MOST_HELD:
                     kept, rest = parted(parts, MOST_KEPT)
-                    yield batch_of(*rest)
+                    yield from told(rest)
                     parts, held = [kept], 0
         if parts:
-            yield batch_of(*merged(parts))
+            yield from told(merged(parts))
         release()
 
-    found = rows.select("text", "side").mapInArrow(run, "kind tinyint, a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in SIDES))
-    return found.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in SIDES))
+    found = rows.select("text", "side").mapInArrow(run, "bucket int, n int, names binary, counts binary")
+    return found.groupBy("bucket").applyInArrow(_sums, "kind tinyint, a bigint, b bigint, " + ", ".join(f"{c} bigint" for c in SIDES))
 
 
 def lower_orders(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,8 +427,6 @@ def trained_models(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[M
 
     Only the logistic curve is fitted on a sample, of at most max_rows toxic texts and ORDINARY times as many ordinary ones.
     """
-    import pyarrow as pa
-
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 <> 1")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
@@ -445,8 +496,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     scores = _scores(docs, labels, max_rows)
 
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             ids, s = batch.column(0), scores(batch.column(1))
             held = [None if i is None else zlib.crc32(str(i).encode()) % 3 == 1 for i in ids.to_pylist()]

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlcore.llm import bloom, bpe, entries, exact_dedup, html_text, jaccard, packing, secrets, sharding, suffix_dedup, suffixes, topk, toxicity, tree
@@ -413,6 +414,57 @@ def test_toxicity_frequent_expressions_are_held(spark, monkeypatch):
     assert n[3][(n[0] == toxicity.WORD) & (n[2] == words[0])].sum() == 300
 
 
+def shuffled_bytes(df) -> int:
+    """Bytes that the exchanges of a frame that was collected have written."""
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            left.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found += node.metrics().get("shuffleBytesWritten").get().value()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_toxicity_counts_travel_in_few_bytes(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 600").select("text").collect()]
+    counts = toxicity.expression_counts(spark.createDataFrame([(t, i % 4) for i, t in enumerate(texts)], "text string, side int").coalesce(2))
+    n = len(counts.collect())
+    assert n > 200_000 and 0 < shuffled_bytes(counts) < 14 * n
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 200])
+def test_toxicity_messages_keep_all_counts(monkeypatch, buckets):
+    """Large buckets are summed cell by cell, hot words have several buckets; counts are those of a plain sum."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{rng.integers(300)} the" for _ in range(30)).encode() for _ in range(120)]
+    parts = [toxicity.tally(texts[i : i + 40], np.arange(40) % 4) for i in range(0, 120, 40)]
+    rows = lambda kind, a, b, n: [(*k, *c) for *k, c in zip(kind.tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist(), n.tolist())]
+    want = sorted(rows(*toxicity.merged(parts)))
+    told = collections.defaultdict(list)
+    for p in parts:
+        for k, n, names, counts in toxicity.messages(p, buckets):
+            told[k].append(pa.record_batch({"n": [n], "names": [names], "counts": [counts]}))
+    assert (len(told) > 100) == (buckets == 200)
+    for most in (toxicity.MOST_SUMMED, 50, 1):
+        monkeypatch.setattr(toxicity, "MOST_SUMMED", most)
+        got = [tuple(r.values()) for k in told for batch in toxicity._sums(iter(told[k])) for r in batch.to_pylist()]
+        assert sorted(got) == want
+    assert not list(toxicity.messages(tuple(x[:0] for x in parts[0]), buckets))
+
+
+def test_toxicity_clashing_hashes_keep_their_counts(monkeypatch):
+    part = (np.zeros(4, np.int8), np.array([1, 2, 1, 3], np.uint64), np.array([5, 6, 5, 6], np.uint64), np.eye(4, dtype=np.int32))
+    monkeypatch.setattr(toxicity, "pair_hash", lambda a, b: np.zeros(len(a), np.uint64))
+    kind, a, b, n = toxicity.merged([part])
+    assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == [(1, 5, [1, 0, 1, 0]), (2, 6, [0, 1, 0, 0]), (3, 6, [0, 0, 0, 1])]
+
+
 def test_toxicity_table_keeps_every_key():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(8)  # all clash in their low bits
     keys = np.unique(np.concatenate([keys, np.zeros(1, np.uint64)]))
